@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from weftlog.llm import quality
 from weftlog.llm.sharding import op6_sampled_splitters
 
-QUERIES: dict = {"op6_sampled_splitters": op6_sampled_splitters}
-ORACLES: dict = {}
+QUERIES: dict = {"op3_rule_cascade": quality.op3_rule_cascade, "op6_sampled_splitters": op6_sampled_splitters}
+ORACLES: dict = {"op3_rule_cascade": quality.ORACLE}
