@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftlog.llm import quality
+from weftlog.llm import decontaminate, quality
 from weftlog.llm.sharding import op6_sampled_splitters
 from weftlog.llm.tokens import op7_addressable_codes
 
-QUERIES: dict = {"op3_rule_cascade": quality.op3_rule_cascade, "op6_sampled_splitters": op6_sampled_splitters, "op7_addressable_codes": op7_addressable_codes}
-ORACLES: dict = {"op3_rule_cascade": quality.ORACLE}
+QUERIES: dict = {"op3_rule_cascade": quality.op3_rule_cascade, "op6_sampled_splitters": op6_sampled_splitters, "op7_addressable_codes": op7_addressable_codes, "op8_winnowing": decontaminate.op8_winnowing}
+ORACLES: dict = {"op3_rule_cascade": quality.ORACLE, "op8_winnowing": decontaminate.ORACLE}
