@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from weftlog.llm import chat, decontaminate, quality, warc
+from weftlog.llm.packing import op5_hilbert_packing
 from weftlog.llm.sharding import op6_sampled_splitters
 from weftlog.llm.tokens import op7_addressable_codes
 
-QUERIES: dict = {"op3_rule_cascade": quality.op3_rule_cascade, "op6_sampled_splitters": op6_sampled_splitters, "op7_addressable_codes": op7_addressable_codes, "op8_winnowing": decontaminate.op8_winnowing, "op9_reply_trees": chat.op9_reply_trees, "op10_dictionary_warc": warc.op10_dictionary_warc}
+QUERIES: dict = {"op3_rule_cascade": quality.op3_rule_cascade, "op5_hilbert_packing": op5_hilbert_packing, "op6_sampled_splitters": op6_sampled_splitters, "op7_addressable_codes": op7_addressable_codes, "op8_winnowing": decontaminate.op8_winnowing, "op9_reply_trees": chat.op9_reply_trees, "op10_dictionary_warc": warc.op10_dictionary_warc}
 ORACLES: dict = {"op3_rule_cascade": quality.ORACLE, "op8_winnowing": decontaminate.ORACLE, "op9_reply_trees": chat.ORACLE, "op10_dictionary_warc": warc.ORACLE}
