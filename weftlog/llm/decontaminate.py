@@ -13,15 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.llm.bitmap import bitmap_of, passes
 from weftlog.llm.storage import written
 from weftlog.llm.text import ALNUM, Slice, Words, slices, sliding_minimum, window_hashes, window_starts, words
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
-#: Bits of the filter of item fingerprints: 64 for each, but 2**16 at least and 2**26 (8 MB) at most, whatever the items' size.
-#: A fuller filter lets more document fingerprints through to the join, which decides.
-LEAST_BITS, MOST_BITS = 16, 26
-
 _HIT = "array<struct<width: int, hash: bigint, at: int, before: array<string>, core: array<string>, after: array<string>>>"
 
 
@@ -94,26 +91,6 @@ def _arrow_hits() -> pa.DataType:
     return pa.list_(pa.struct([("width", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("before", strings), ("core", strings), ("after", strings)]))
 
 
-def fingerprint_filter(prints: DataFrame) -> tuple[dict[int, bool], np.ndarray]:
-    """Widths that occur, and a bitmap of the fingerprints' hashes: at most 2**20 words of it reach the driver."""
-    widths = {r["width"]: True for r in prints.select("width").distinct().collect()}  # ten at most
-    n = prints.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
-    place = F.shiftrightunsigned("hash", 64 - bits)
-    rows = prints.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    rows = rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("value"))
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    for r in rows.collect():
-        table[r["word"]] = np.uint64(r["value"] & 0xFFFFFFFFFFFFFFFF)
-    return widths, table
-
-
-def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bits = int(len(table) << 6).bit_length() - 1
-    place = hashes >> np.uint64(64 - bits)
-    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def common(a: Column, b: Column) -> Column:
     """How many leading entries two short arrays share."""
     n = F.least(F.size(a), F.size(b))
@@ -131,7 +108,8 @@ def contamination(
     Only the named columns are read.
     """
     prints = written(item_fingerprints(items, item_col, item_text_col), "item-prints")
-    widths, table = fingerprint_filter(prints)
+    widths = {r["width"] for r in prints.select("width").distinct().collect()}  # SPAN at most
+    table = bitmap_of(prints, "hash")  # a document fingerprint that it lets through is decided by the join
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 8 MB at most
 
     def run(batches):
