@@ -8,6 +8,7 @@ from weftlog.llm.packing import op5_hilbert_packing
 from weftlog.llm.sharding import op6_sampled_splitters
 from weftlog.llm.suffixes import op1_sparse_suffixes
 from weftlog.llm.tokens import op7_addressable_codes
+from weftlog.llm.toxicity import op4_weak_supervision
 
-QUERIES: dict = {"op1_sparse_suffixes": op1_sparse_suffixes, "op2_order_minhash": op2_order_minhash, "op3_rule_cascade": quality.op3_rule_cascade, "op5_hilbert_packing": op5_hilbert_packing, "op6_sampled_splitters": op6_sampled_splitters, "op7_addressable_codes": op7_addressable_codes, "op8_winnowing": decontaminate.op8_winnowing, "op9_reply_trees": chat.op9_reply_trees, "op10_dictionary_warc": warc.op10_dictionary_warc}
+QUERIES: dict = {"op1_sparse_suffixes": op1_sparse_suffixes, "op2_order_minhash": op2_order_minhash, "op3_rule_cascade": quality.op3_rule_cascade, "op4_weak_supervision": op4_weak_supervision, "op5_hilbert_packing": op5_hilbert_packing, "op6_sampled_splitters": op6_sampled_splitters, "op7_addressable_codes": op7_addressable_codes, "op8_winnowing": decontaminate.op8_winnowing, "op9_reply_trees": chat.op9_reply_trees, "op10_dictionary_warc": warc.op10_dictionary_warc}
 ORACLES: dict = {"op3_rule_cascade": quality.ORACLE, "op8_winnowing": decontaminate.ORACLE, "op9_reply_trees": chat.ORACLE, "op10_dictionary_warc": warc.ORACLE}
