@@ -152,12 +152,16 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUE
     return out.withColumnRenamed("id", id_col)
 
 
-def op5_hilbert_packing(spark, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    pieces = pack_along_curve(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
-    pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+def packed_pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Pieces with the checksum of their ids and a sequence number over all ranges, in place of the ids."""
+    pieces = written(pack_along_curve(docs, tokenizer_path).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     # one row for each range, MOST_RANGES at most
     counts = pieces.groupBy("part").agg((F.max("local") + 1).alias("n"))
     base = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     return pieces.join(F.broadcast(base), "part").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("local")).alias("sequence_id"), "offset")
+
+
+def op5_hilbert_packing(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packed_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
