@@ -48,12 +48,19 @@ def one_hot(at: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == at, 1.0).otherwise(0.0))
 
 
-def multi_hot(at: Column, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.array_contains(at, i), 1.0).otherwise(0.0))
+def entry(at: Column | int, value: Column | float = 1.0) -> Column:
+    """A place of a sparse vector and its value."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    value = value if isinstance(value, Column) else F.lit(value)
+    return F.struct(at.cast("int").alias("i"), value.cast("double").alias("v"))
 
 
-def zeros(width: int) -> Column:
-    return F.array_repeat(F.lit(0.0), width)
+def dense(entries: Column, width: int) -> Column:
+    """A dense array from entries at distinct places, in one pass over them."""
+    none = F.array().cast("array<double>")
+    step = lambda a, e: F.struct(F.concat(a["x"], F.array_repeat(F.lit(0.0), e["i"] - a["n"]), F.array(e["v"])).alias("x"), (e["i"] + 1).alias("n"))
+    finish = lambda a: F.concat(a["x"], F.array_repeat(F.lit(0.0), F.lit(width) - a["n"]))
+    return F.aggregate(F.array_sort(entries), F.struct(none.alias("x"), F.lit(0).alias("n")), step, finish)
 
 
 def positional_encoding(position: Column, width: int) -> Column:
@@ -100,44 +107,93 @@ class FeatureSpec:
         return 1 + self.time_width
 
 
-def _known(value: Column, vocabulary: list[str], width: int) -> Column:
-    return one_hot(F.greatest(place(value, vocabulary), F.lit(0)), width)
+class _Block:
+    """Collects the entries of one block, field by field."""
 
+    def __init__(self, offset: int):
+        self.at, self.entries = offset, []
 
-def event_features(spec: FeatureSpec, order: Column, relative_time: Column, strip_verdict: bool = False) -> Column:
-    """An event's vector, from the behaviour columns, its order in the window and its time relative to it.
+    def hot(self, place_: Column, width: int) -> None:
+        self.entries.append(entry(place_ + self.at))
+        self.at += width
+
+    def of(self, value: Column, slots: tuple[str, ...]) -> None:
+        self.hot(slot(value, slots), len(slots))
+
+    def known(self, value: Column, vocabulary: list[str], width: int) -> None:
+        self.hot(F.greatest(place(value, vocabulary), F.lit(0)), width)
+
+    def number(self, value: Column) -> None:
+        self.entries.append(entry(self.at, value))
+        self.at += 1
+
+
+def event_entries(spec: FeatureSpec, order: Column, relative_time: Column, strip_verdict: bool = False) -> Column:
+    """An event's vector as (place, value) entries, from the behaviour columns, its order in the window and its time relative to it.
 
-    Shared block first, then one block for each event type, of which only the event's own is filled.
+    The shared block comes first, then one block for each event type, of which only the event's own is filled.
     """
-    c = F.col
-    status = lambda code: one_hot(slot(status_class(code), STATUS), len(STATUS))
-    of = lambda value, slots: one_hot(slot(value, slots), len(slots))
-    grpc = F.when(c("grpc_status").isNull(), 0).when(c("grpc_status") == 0, 1).otherwise(2)
-    flag_places = F.transform(flags(c("response_flags")), lambda f: slot(f, RESPONSE_FLAGS))
-    rpc = F.concat(
-        of(c("protocol"), PROTOCOLS), of(c("method"), METHODS), _known(template_path(c("path"), c("protocol")), spec.paths, spec.path_width), status(c("status_code")),
-        one_hot(grpc, len(GRPC_STATUS)), multi_hot(flag_places, len(RESPONSE_FLAGS)),
-        F.array(*[scaled(c(f), *spec.scalers[f]) for f in SCALED], F.when(c("reporter_views") == 2, 1.0).otherwise(0.0)),
-    )
-    reason = F.when(present(c("drop_reason")).isNull(), 0).when(F.upper("drop_reason") == "POLICY_DENIED", 1).otherwise(2)
-    verdict = zeros(len(VERDICTS) + len(DROP_REASONS)) if strip_verdict else F.concat(of(c("verdict"), VERDICTS), one_hot(reason, len(DROP_REASONS)))
-    flow = F.concat(of(c("l4_proto"), L4_PROTOCOLS), of(port_class(c("dst_port")), PORTS), verdict, of(c("is_reply").cast("string"), TRISTATE))
+    c, widths = F.col, spec.widths
+    offsets, at = {}, widths["shared"]
+    for kind in (RPC, L4, DNS, API):
+        offsets[kind] = at
+        at += widths[kind]
+
+    rpc = _Block(offsets[RPC])
+    rpc.of(c("protocol"), PROTOCOLS)
+    rpc.of(c("method"), METHODS)
+    rpc.known(template_path(c("path"), c("protocol")), spec.paths, spec.path_width)
+    rpc.of(status_class(c("status_code")), STATUS)
+    rpc.hot(F.when(c("grpc_status").isNull(), 0).when(c("grpc_status") == 0, 1).otherwise(2), len(GRPC_STATUS))
+    flag_at = rpc.at
+    rpc.at += len(RESPONSE_FLAGS)
+    for f in SCALED:
+        rpc.number(scaled(c(f), *spec.scalers[f]))
+    rpc.number(F.when(c("reporter_views") == 2, 1.0).otherwise(0.0))
+    flag_entries = F.transform(F.array_distinct(F.transform(flags(c("response_flags")), lambda f: slot(f, RESPONSE_FLAGS))), lambda i: entry(i + flag_at))
+
+    flow = _Block(offsets[L4])
+    flow.of(c("l4_proto"), L4_PROTOCOLS)
+    flow.of(port_class(c("dst_port")), PORTS)
+    if strip_verdict:
+        flow.at += len(VERDICTS) + len(DROP_REASONS)
+    else:
+        flow.of(c("verdict"), VERDICTS)
+        flow.hot(F.when(present(c("drop_reason")).isNull(), 0).when(F.upper("drop_reason") == "POLICY_DENIED", 1).otherwise(2), len(DROP_REASONS))
+    flow.of(c("is_reply").cast("string"), TRISTATE)
+
+    dns = _Block(offsets[DNS])
     token = dns_token(c("dns_query"))
     external = token.startswith("dst:ext:")
-    name = F.when(external, _known(F.substr(token, F.lit(len("dst:ext:") + 1)), spec.names, spec.name_width)).otherwise(zeros(spec.name_width))
+    dns.of(first_qtype(c("dns_qtypes")), QTYPES)
+    dns.hot(F.when(token == "dst:cluster", 0).when(external, 1).otherwise(2), len(DNS_DESTINATIONS))
+    name = entry(F.greatest(place(F.substr(token, F.lit(len("dst:ext:") + 1)), spec.names), F.lit(0)) + dns.at)
+    dns.at += spec.name_width
     rcode = F.lower(F.trim(F.coalesce(present(c("dns_rcode")), F.lit("na"))))
     numbers = F.create_map(*[F.lit(x) for pair in RCODE_NUMBERS.items() for x in pair])
-    dns = F.concat(
-        of(first_qtype(c("dns_qtypes")), QTYPES), one_hot(F.when(token == "dst:cluster", 0).when(external, 1).otherwise(2), len(DNS_DESTINATIONS)), name,
-        of(F.coalesce(F.try_element_at(numbers, rcode), rcode), RCODES),
-    )
-    api = F.concat(
-        of(c("k8s_verb"), VERBS), _known(F.lower(F.coalesce(present(c("k8s_resource")), F.lit("na"))), spec.resources, spec.resource_width),
-        of(c("k8s_subresource"), SUBRESOURCES), of(c("k8s_user_type"), USER_TYPES), status(c("k8s_status_code")),
+    dns.of(F.coalesce(F.try_element_at(numbers, rcode), rcode), RCODES)
+
+    api = _Block(offsets[API])
+    api.of(c("k8s_verb"), VERBS)
+    api.known(F.lower(F.coalesce(present(c("k8s_resource")), F.lit("na"))), spec.resources, spec.resource_width)
+    api.of(c("k8s_subresource"), SUBRESOURCES)
+    api.of(c("k8s_user_type"), USER_TYPES)
+    api.of(status_class(c("k8s_status_code")), STATUS)
+
+    kinds = len(EVENT_TYPES)
+    none = F.array().cast("array<struct<i:int,v:double>>")
+    type_entry = F.when(place(c("event_type"), EVENT_TYPES) >= 0, F.array(entry(place(c("event_type"), EVENT_TYPES)))).otherwise(none)
+    time = F.transform(positional_encoding(order, spec.time_width), lambda v, i: entry(i + kinds, v))
+    own = (
+        F.when(c("event_type") == RPC, F.concat(F.array(*rpc.entries), flag_entries)).when(c("event_type") == L4, F.array(*flow.entries))
+        .when(c("event_type") == DNS, F.concat(F.array(*dns.entries), F.when(external, F.array(name)).otherwise(none))).when(c("event_type") == API, F.array(*api.entries)).otherwise(none)
     )
-    shared = F.concat(one_hot(place(c("event_type"), EVENT_TYPES), len(EVENT_TYPES)), positional_encoding(order, spec.time_width), F.array(relative_time.cast("double")))
-    blocks = [F.when(c("event_type") == kind, block).otherwise(zeros(spec.widths[kind])) for kind, block in ((RPC, rpc), (L4, flow), (DNS, dns), (API, api))]
-    return F.concat(shared, *blocks)
+    return F.concat(type_entry, time, F.array(entry(kinds + spec.time_width, relative_time)), own)
+
+
+def event_features(spec: FeatureSpec, order: Column, relative_time: Column, strip_verdict: bool = False) -> Column:
+    """``event_entries`` as a dense array."""
+    return dense(event_entries(spec, order, relative_time, strip_verdict), spec.event_width)
 
 
 def entity_features(spec: FeatureSpec, age: Column) -> Column:

@@ -75,7 +75,8 @@ def follow_edges(nodes: DataFrame, most: int) -> DataFrame:
     out = None
     for kind, end in (("follows_src", "src_id"), ("follows_dst", "dst_id")):
         before = Window.partitionBy("run_id", "pos", end).orderBy("order").rowsBetween(-most, -1)
-        edges = nodes.withColumn("src", F.explode(F.collect_list("event_id").over(before))).select("run_id", "pos", F.lit(kind).alias("edge_type"), "src", F.col("event_id").alias("dst"))
+        linked = nodes.withColumn("before", F.collect_list("event_id").over(before))
+        edges = linked.select("run_id", "pos", F.lit(kind).alias("edge_type"), F.explode("before").alias("src"), F.col("event_id").alias("dst"))
         out = edges if out is None else out.unionByName(edges)
     return out
 

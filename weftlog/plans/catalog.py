@@ -2,61 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from weftlog.plans import event_queries, graph_queries, model_queries, stat_queries, token_queries, window_queries  # noqa: F401  (they register)
+from weftlog.plans.registry import ORACLES, QUERIES
 
-from weftlog.operators import windows
-from weftlog.plans.testdata import TEL, WIN, WINDOWS, entities, telemetry
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL that gives the same rows."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telemetry events by window."""
-    return windows.assign_windows(telemetry(spark, sf_dir), WINDOWS)
-
-
-def rounded(*names: str) -> dict:
-    """Doubles that two engines add up in different orders."""
-    return {n: F.round(n, 6) for n in names}
-
-
-@query(WIN + " SELECT run_id, w_idx, src_id AS entity_id, count(*) AS n_events, count(DISTINCT event_type) AS n_types FROM win GROUP BY ALL")
-def window_activity(spark, sf_dir):
-    """Events and event types of each source in each window."""
-    return placed(spark, sf_dir).groupBy("run_id", "w_idx", F.col("src_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("event_type").alias("n_types"))
-
-
-@query(WIN + " SELECT run_id, pos, w_idx, t0_us, count(*) AS n_events FROM win GROUP BY ALL")
-def window_dense_index(spark, sf_dir):
-    """Windows by place and by dense index."""
-    return placed(spark, sf_dir).groupBy("run_id", "pos", "w_idx", "t0_us").agg(F.count(F.lit(1)).alias("n_events"))
-
-
-@query(TEL + " SELECT run_id, event_id, event_type, src_id, dst_id, dst_svc_id, method, path, status_code, l4_proto, dst_port, verdict, dns_query, dns_rcode, k8s_verb, k8s_resource, ts_us FROM tel")
-def telemetry_events(spark, sf_dir):
-    """The adapter's events."""
-    return telemetry(spark, sf_dir).select("run_id", "event_id", "event_type", "src_id", "dst_id", "dst_svc_id", "method", "path", "status_code", "l4_proto", "dst_port", "verdict", "dns_query", "dns_rcode", "k8s_verb", "k8s_resource", "ts_us")
-
-
-@query(TEL + " SELECT run_id, entity_id, entity_type, namespace, canonical_service FROM ent")
-def telemetry_entities(spark, sf_dir):
-    """Entities named by events."""
-    return entities(telemetry(spark, sf_dir)).select("run_id", "entity_id", "entity_type", "namespace", "canonical_service")
+__all__ = ["ORACLES", "QUERIES"]
