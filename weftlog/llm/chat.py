@@ -15,9 +15,6 @@ CONTROL = (
     "<|begin_of_text|>", "<|end_of_text|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<unk>", "<pad>", "<bos>", "<eos>",
 )
 _ANY = "|".join(rf"(?<=\Q{c[0]}\E)(?=\Q{c[1:]}\E)" for c in CONTROL)
-#: Rounds of path doubling; trees deeper than 2 to this power are refused.
-MOST_ROUNDS = 40
-
 
 def escaped(text: Column) -> Column:
     r"""Backslashes are doubled, and one goes after the first character of each control string; nothing else changes."""
@@ -30,23 +27,27 @@ def unescaped(text: Column) -> Column:
 
 
 def paths(messages: DataFrame) -> DataFrame:
-    """Root-to-leaf paths of (conv, node, parent): conv, leaf, path (nodes from the root).
+    """Root-to-leaf paths of (conv, node, parent) as rows (conv, leaf, node, steps), steps counted from the leaf up.
 
-    Each round joins the table to itself and doubles the stretch of ancestors that a node knows, so a tree of depth d takes
-    log2(d) rounds.  A node whose parent is null or absent is a root.  Nodes on a cycle reach no root; they are in no path.
+    Round i joins what is known of each leaf's ancestors to the jumps of 2**i steps, and the jumps to themselves, so a tree of
+    depth d takes log2(d) rounds, and the rows of all rounds together are those of the result and the jumps still inside a tree.
+    A node whose parent is null or absent is a root.  Nodes on a cycle reach no root; paths that end there are left out.
     """
-    m = messages.select("conv", "node", "parent")
-    known = m.select(F.col("conv").alias("conv"), F.col("node").alias("parent")).distinct()
-    rooted = m.join(known.withColumn("there", F.lit(True)), ["conv", "parent"], "left").withColumn("parent", F.when(F.col("there"), F.col("parent"))).drop("there")
-    reach = written(rooted.select("conv", "node", F.col("parent").alias("up"), F.array("node").alias("path")), "reach")
-    for _ in range(MOST_ROUNDS):
-        if reach.where(F.col("up").isNotNull()).isEmpty():
-            break
-        above = reach.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
-        joined = reach.join(above, ["conv", "up"], "left")
-        reach = written(joined.select("conv", "node", F.col("next").alias("up"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path")), "reach")
-    inner = rooted.where(F.col("parent").isNotNull()).select("conv", F.col("parent").alias("node")).distinct()
-    return reach.where(F.col("up").isNull()).join(inner, ["conv", "node"], "left_anti").select("conv", F.col("node").alias("leaf"), "path")
+    known = messages.select("conv", F.col("node").alias("parent")).distinct()
+    linked = messages.select("conv", "node", "parent").join(known, ["conv", "parent"]).select("conv", "node", F.col("parent").alias("up"))
+    jumps = linked = written(linked, "jumps")
+    leaves = messages.select("conv", "node").join(linked.select("conv", F.col("up").alias("node")).distinct(), ["conv", "node"], "left_anti")
+    found = written(leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("steps")), "paths")
+    most, reach = messages.count(), 1
+    while reach <= most and not jumps.isEmpty():
+        more = found.join(jumps, ["conv", "node"]).select("conv", "leaf", F.col("up").alias("node"), (F.col("steps") + reach).alias("steps"))
+        found = found.union(written(more, "paths"))
+        further = jumps.select("conv", F.col("node").alias("up"), F.col("up").alias("next"))
+        jumps = written(jumps.join(further, ["conv", "up"]).select("conv", "node", F.col("next").alias("up")), "jumps")
+        reach *= 2
+    ends = found.groupBy("conv", "leaf").agg(F.max_by("node", "steps").alias("node"))
+    rooted = ends.join(linked.select("conv", "node"), ["conv", "node"], "left_anti").select("conv", "leaf")
+    return found.join(rooted, ["conv", "leaf"], "left_semi")
 
 
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -58,7 +59,7 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     Null texts and roles are empty; empty texts keep their turn; an empty table gives no rows.
     One conversation's chosen branches are rows of their own, so the largest thing in one task is one formatted conversation.
     """
-    steps = paths(messages).select("conv", "leaf", F.posexplode("path").alias("place", "node"))
+    steps = paths(messages).withColumn("place", -F.col("steps"))
     piece = F.struct("place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     full = steps.join(messages.select("conv", "node", "role", "text", "score"), ["conv", "node"])
     ranked = full.groupBy("conv", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.array_sort(F.collect_list(piece)).alias("turns"))
