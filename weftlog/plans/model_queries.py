@@ -1,0 +1,33 @@
+"""Queries on learned stages; rows only, as weights depend on the machine's order of sums."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weftlog.operators import graphs, models, sentences, stats
+from weftlog.plans.registry import placed, query
+from weftlog.plans.testdata import entities, telemetry
+
+
+def _encoded(spark, sf_dir):
+    said = sentences.sentences(placed(spark, sf_dir)).cache()
+    vectors = models.token_vectors(said, size=16, epochs=1)
+    return models.encoded(said, vectors, 16)
+
+
+@query()
+def w2v_embed(spark, sf_dir):
+    """Sentences as vectors."""
+    return _encoded(spark, sf_dir).select("run_id", "w_idx", "entity_id", F.transform("x", lambda v: F.round(v, 4)).alias("x"))
+
+
+@query()
+def role_scores(spark, sf_dir):
+    """Role scores of nodes from vectors propagated over window graphs."""
+    place, ents = placed(spark, sf_dir), entities(telemetry(spark, sf_dir))
+    nodes = graphs.incident_nodes(place, ents).join(_encoded(spark, sf_dir), ["run_id", "w_idx", "entity_id"])
+    full = graphs.propagated(graphs.window_edges(place, ents), nodes, ["run_id", "w_idx"], width=16)
+    vocabulary = stats.label_vocabulary(ents)
+    labelled = stats.with_label_index(full, vocabulary).cache()
+    model = models.role_regression(labelled, ["x", "x1", "x2"], iterations=10)
+    return models.node_scores(models.probabilities(labelled, model, ["x", "x1", "x2"]), vocabulary).withColumn("score_raw", F.round("score_raw", 4)).drop("p_true")

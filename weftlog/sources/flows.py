@@ -9,12 +9,13 @@ from weftlog.functions import net
 from weftlog.schema import DNS, DNSNAME, EXTERNAL, L4, POD
 from weftlog.sources.snapshot import resolve_ip
 
-_END = "struct<pod_name: string, namespace: string, labels: array<string>, workloads: array<struct<name: string>>, ip: string, IP: struct<source: string>>"
+_END = "struct<pod_name: string, namespace: string, labels: array<string>, workloads: array<struct<name: string>>, ip: string>"
 _PORT = "struct<destination_port: int, flags: struct<SYN: boolean, ACK: boolean>>"
-_FLOW = (
-    f"time: string, verdict: string, drop_reason_desc: string, is_reply: boolean, l4: struct<TCP: {_PORT}, UDP: {_PORT}, ICMPv4: struct<type: int>, ICMPv6: struct<type: int>>, "
-    f"l7: struct<type: string, dns: struct<query: string, qtypes: array<string>, rcode: string>>, source: {_END}, destination: {_END}"
-)
+#: Fields of a record and their types.
+FIELDS = {
+    "time": "string", "verdict": "string", "drop_reason_desc": "string", "is_reply": "boolean", "l4": f"struct<TCP: {_PORT}, UDP: {_PORT}, ICMPv4: struct<type: int>, ICMPv6: struct<type: int>>",
+    "l7": "struct<type: string, dns: struct<query: string, qtypes: array<string>, rcode: string>>", "source": _END, "destination": _END,
+}
 #: Which flows may be kept; each rule is enough. Fixed values.
 RULES = ("non_forwarded", "syn_no_ack", "udp_first")
 
@@ -32,13 +33,10 @@ def keep(verdict: Column, proto: Column, syn: Column, ack: Column, is_reply: Col
 
 def parsed(lines: DataFrame) -> DataFrame:
     """(run_id, file, lineno, f, ts_us) of JSON lines with a time, wrapped in ``flow`` or bare."""
-    # both spellings of the address differ by case only, so keys are told apart by case
-    bare = _FLOW.replace(", IP: struct<source: string>", "")
-    both = F.from_json("line", f"flow: struct<{bare}>, {bare}".replace(": ", " ", 0))
-    out = lines.withColumn("o", both)
-    fields = [x.split(":")[0].strip() for x in ("time", "verdict", "drop_reason_desc", "is_reply", "l4", "l7", "source", "destination")]
+    inner, outer = (", ".join(f"{n}{sep} {t}" for n, t in FIELDS.items()) for sep in (":", ""))
+    out = lines.withColumn("o", F.from_json("line", f"flow struct<{inner}>, {outer}"))
     wrapped = F.col("o.flow").isNotNull()
-    f = F.struct(*[F.when(wrapped, F.col(f"o.flow.{x}")).otherwise(F.col(f"o.{x}")).alias(x) for x in fields])
+    f = F.struct(*[F.when(wrapped, F.col(f"o.flow.{x}")).otherwise(F.col(f"o.{x}")).alias(x) for x in FIELDS])
     return out.withColumn("f", f).withColumn("ts_us", net.epoch_us(F.col("f.time"))).where(F.col("ts_us").isNotNull()).drop("o", "line")
 
 
