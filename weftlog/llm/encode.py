@@ -14,7 +14,7 @@ import numpy as np
 from weftlog.llm.text import SPACE, Slice, hash_spans, spans
 
 #: Distinct pieces that a worker remembers (about 30 bytes each); beyond that it starts afresh.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_500_000
 
 #: Bytes after a blank that surely begin no further blank: visible ASCII, and lead bytes under which Unicode has no white space.
 _VISIBLE = np.zeros(256, dtype=bool)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlog.llm.storage import bounded_memory
 from weftlog.llm.text import SPACE, Slice, hash_spans, slices, spans, window_hashes, window_starts, words
 
 #: Documents of the sample on which costs and selectivities are estimated, as expected number.
@@ -179,6 +180,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     ``rejected_by``, never ``kept``.  A null text counts as one without words: base_failed.  Repeated rows give repeated rows,
     an empty table gives none, and further columns of ``docs`` are not read.
     """
+    bounded_memory(docs.sparkSession)
     order = ordered(rules, estimate(docs, rules, id_col, text_col))
 
     def run(batches):

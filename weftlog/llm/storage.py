@@ -11,8 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch; documents are long, and a task holds a batch or two at once.
+BATCH_ROWS = 1000
+
+
+def bounded_memory(spark: SparkSession) -> None:
+    """Session settings under which a task's memory outside the heap stays small.
+
+    Batches to and from Python are of BATCH_ROWS rows, and Parquet files are read through one buffer: the parallel reads of
+    whole column chunks keep a native buffer of that size for each of their threads.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset (tests), a local one of our own."""
+    bounded_memory(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="weftlog-")

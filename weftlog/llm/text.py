@@ -8,6 +8,7 @@ bytes alone, so every task and every run computes the same ones.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task works on at once; one longer text is still taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:
+    _libc = None
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -91,6 +97,13 @@ class Slice:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks, and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     """Whole texts by about ``limit`` bytes; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,6 +119,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         hi = min(hi, n)
         yield Slice(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
+    release()
 
 
 @dataclass

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlog.llm.storage import written
+from weftlog.llm.storage import bounded_memory, written
 from weftlog.llm.text import ALNUM, LOWER, Slice, _position_keys, mix, slices, words
 
 #: Expected documents of the sample that voters, label model and classifier are fitted on, labelled or not.
@@ -178,6 +178,7 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
     """Fit on about SAMPLE_DOCS documents that are not held out. Without labels of both kinds every score is the share of toxic ones (0 without any)."""
+    bounded_memory(docs.sparkSession)
     n = docs.count()
     drawn = docs.where(~held_out(F.col(id_col)) & (F.pmod(F.xxhash64(F.col(id_col), F.lit(13)), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_DOCS / max(n, 1)))))
     taught = labels.where(~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
