@@ -208,10 +208,10 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts without duplicate passages stay as they are, byte for byte.
     """
-    rows = docs.withColumn("row_", F.monotonically_increasing_id())
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     _, spans = repeats(docs)
     cuts = spans.where("duplicate").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("cuts"))  # of one text
-    joined = rows.join(cuts.withColumnRenamed("row", "row_"), "row_", "left")
+    joined = rows.join(cuts, "row", "left")
 
     def run(batches):
         for batch in batches:
@@ -220,11 +220,11 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
                 if cut:
                     texts[i] = cut_words(texts[i], [(c["begin"], c["end"]) for c in cut])
                 keep.append(not cut or bool(texts[i].strip()))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names=["text", *others]).filter(pa.array(keep))
 
     others = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    out = joined.select("text", "cuts", *[F.col(f"`{c}`") for c in others]).mapInArrow(run, f"text string, {kinds}")
+    out = joined.select(F.col("doc.text").alias("text"), F.col("cuts").alias("cuts"), *[F.col("doc")[c].alias(f"c{i}") for i, c in enumerate(others)]).mapInArrow(run, f"text string, {kinds}")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
