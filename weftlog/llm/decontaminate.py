@@ -160,12 +160,10 @@ def decontamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without any hit, with all their columns. A row is known by a number that is written with it."""
-    from weftlog.llm.storage import numbered
-
-    rows = numbered(docs, "row_number_")
-    every, spans = contamination(rows.select("row_number_", "text"), items, id_col="row_number_")
-    hit = every.join(spans.select("row").distinct(), "row", "left_semi").select("row_number_")
-    return rows.join(hit, "row_number_", "left_anti").select(*docs.columns)
+    rows = docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    every, spans = contamination(rows.select("number", F.col("doc.text").alias("text")), items, id_col="number")
+    hit = every.join(spans.select("row").distinct(), "row", "left_semi").select("number")
+    return rows.join(hit, "number", "left_anti").select("doc.*")
 
 
 def op8_winnowing(spark, sf_dir: str) -> DataFrame:

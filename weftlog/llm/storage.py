@@ -8,7 +8,6 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch; documents are long, and a task holds a batch or two at once.
@@ -48,15 +47,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with a number for each row, in ``column``.
-
-    Numbers follow from the input's splits and the row's place in its split, so a repeated scan gives the same ones; the
-    input must be a scan of files (as each stage's documents are), with at most filters and projections on it.
-    """
-    return df.withColumn(column, F.monotonically_increasing_id())
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and path of a URI or an absolute local path."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri[5:])
