@@ -33,6 +33,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 LEAST, CANDIDATES, VOTERS, FEATURES = 3, 50_000, 256, 2048
 #: Log of the ratio of rates from which a feature is a voter.
 STRENGTH = 2.0
+#: Standard errors by which a feature that is no voter must tell the classes apart; weights of chance features drown the rest.
+SURE = 2.5
 #: Correlation inside a class from which voters count as one.
 TOGETHER = 0.5
 ROUNDS = 30
@@ -201,7 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gain = positive * np.maximum(strength, 0)
     voters = np.argsort(-np.where(strength >= STRENGTH, gain, 0), kind="stable")[:VOTERS]
     voters = voters[strength[voters] >= STRENGTH]
-    chosen = np.sort(np.unique(np.concatenate((voters, np.argsort(-np.abs(strength) * np.sqrt(positive + negative), kind="stable")[: FEATURES - len(voters)]))))
+    sure = np.abs(strength) / np.sqrt(1 / (positive + 0.5) + 1 / (negative + 0.5))
+    others = np.argsort(-np.abs(strength) * np.sqrt(positive + negative), kind="stable")
+    chosen = np.sort(np.unique(np.concatenate((voters, others[sure[others] >= SURE][: FEATURES - len(voters)]))))
     table, few = known[chosen], bitmap20(known[chosen])
 
     def present(batches):
