@@ -27,7 +27,7 @@ PREFIX = CORE - SPARSE + 1
 #: Bits of a word in the context beside a passage; STEP - 1 words fill a long.
 CONTEXT_BITS = 12
 #: Occurrences of one passage beyond which they are dealt to several tasks.
-HOT = 50_000
+HOT = 2_000
 
 
 def retained(grams: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
@@ -183,7 +183,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = written(rows, "passages")
 
     place = F.struct("id", "row", "at")
-    hot = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where(F.col("n") > HOT)  # few by the bound
+    # written, so that the join is between a plain table and one of known size, and Spark may split what is skewed
+    hot = written(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where(F.col("n") > HOT), "hot")
     salted = rows.join(hot, "hash", "left").withColumn("salt", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("row", "at"), F.ceil(F.col("n") / HOT))).otherwise(0))
     by = Window.partitionBy("hash", "salt").orderBy("id", "row", "at")
     near = salted.repartition("hash", "salt").select(
