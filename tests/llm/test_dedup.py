@@ -130,6 +130,47 @@ def test_hot_group_of_near_copies(write):
     assert sum(got[d] != min(e for e in texts if group[texts[e]] == group[texts[d]]) for d in texts) == 0
 
 
+def expected_links(rows):
+    """Number of other texts of similarity 0.8 or more, for each row (texts are distinct)."""
+    keys = [neardup.labelled_shingles(split(piece, SPACE))[0] for _, t in rows for piece in slices(pa.array([t]))]
+    n = Counter()
+    for a in range(len(keys)):
+        for b in range(a):
+            if neardup.aligned(keys[a], keys[b]) > 0:
+                n.update((rows[a][0], rows[b][0]))
+    return n
+
+
+def check_classes_and_links(rows, docs):
+    group, n, members = expected_classes(rows), expected_links(rows), {}
+    for d, t in rows:
+        members.setdefault(group[t], []).append(d)
+    wanted = {d: (min(members[group[t]]), n[d]) for d, t in rows}
+    assert {r.id: (r.class_id, r.n_links) for r in neardup.near_duplicates(docs).collect()} == wanted
+    return n
+
+
+def test_shared_passage_with_own_rests(write):
+    rng = random.Random(8)
+    core, rows = words(rng, 89), []
+    for i in range(150):
+        rest = words(rng, 15)
+        rows.append((2 * i, " ".join(core + rest)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join(core + rest[:6] + words(rng, 9))))
+    assert sum(check_classes_and_links(rows, write(rows)).values()) == 100
+
+
+def test_texts_beside_a_unit(write):
+    rng = random.Random(10)
+    base = words(rng, 150)
+    rows = [(i, " ".join(edited(rng, base, 1))) for i in range(80)] + [(100 + i, " ".join(edited(rng, base, rng.randrange(3, 6)))) for i in range(60)]
+    rows = list({t: (d, t) for d, t in rows}.values())
+    group, texts = expected_classes(rows), dict(rows)
+    got = {r.id: r.class_id for r in neardup.near_duplicates(write(rows)).collect()}
+    assert all(got[d] == min(e for e in texts if group[texts[e]] == group[texts[d]]) for d in texts)
+
+
 def test_alignment_is_a_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -12,7 +12,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlog.llm.bitmap import bitmap_of, passes
@@ -25,12 +25,16 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TUPLE = 12, 2
 #: Up to this many texts in a bucket all are compared; larger buckets are compared with their most central text and divided by the next sketch.
 SMALL = 8
-#: Similarity of a pair whose ends may both be linked to a third text: distances (one less similarity) obey the triangle inequality.
-LOOSE = 1 - 2 * (1 - SIMILARITY)
-#: Texts nearest to a bucket's centre that a text which is near the centre, but not linked to it, is compared with.
-NEAREST = 4
-#: Sketches by which a bucket is divided at most; texts that still share a bucket then agree in as many sketches.
+#: Sketches by which a bucket is divided at most. This bounds the work of the sketches only: what they leave is compared by prefixes.
 DEPTH = 5
+#: Texts that sketches join to a class of more than UNIT are one unit: pairs inside it would join nothing more and are not compared.
+UNIT = 50
+#: Entries of a shingle from which its pairs are dealt to several tasks.
+BLOCK = 500
+#: Bits of a text's map of shingles.
+BITS = 1024
+#: Documents of the sample that tells common shingles, and common shingles told; both change the work only, never the pairs.
+SAMPLE_DOCS, COMMON = 20_000, 200_000
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -113,8 +117,52 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return found if found >= similarity - 1e-12 else 0.0
 
 
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles of several texts of a hash sample, rarest first."""
+    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
+    drawn = docs.where(F.pmod(F.xxhash64("row", F.lit(17)), F.lit(1_000_000)) < int(1e6 * share)).select("text")
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch.column(0)):
+                found, n = np.unique(labelled_shingles(words(piece, SPACE))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    counted = drawn.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > 2)
+    rows = counted.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column(0).to_numpy()  # 1.6 MB at most
+    return rows.view(np.uint64)[::-1].copy()
+
+
+def prefixes(shingles: np.ndarray, first: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each text that come first in one order of all shingles (rare ones first), and their numbers.
+
+    A text of n shingles needs ceil(SIMILARITY * n) of them in common with any that it is linked to.  So two linked texts share
+    one of the n - ceil(SIMILARITY * n) + 1 that come first in each, whatever the order is.
+    """
+    n = np.diff(first)
+    rank = np.zeros(len(shingles), np.int64)
+    if len(common):
+        by_value = np.argsort(common)
+        at = np.minimum(np.searchsorted(common[by_value], shingles), len(common) - 1)
+        same = common[by_value][at] == shingles
+        rank[same] = by_value[at[same]] + 1
+    text = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((shingles, rank, text))
+    take = np.where(n > 0, n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1, 0)
+    return shingles[order][np.arange(len(shingles)) - first[:-1][text] < take[text]], take
+
+
+def shingle_maps(shingles: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A bitmap of BITS for each text."""
+    n = len(first) - 1
+    bits = np.zeros((n, BITS), bool)
+    bits[np.repeat(np.arange(n), np.diff(first)), (mix(shingles) % np.uint64(BITS)).astype(np.int64)] = True
+    return [row.tobytes() for row in np.packbits(bits, axis=1)]
+
+
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """For each (row, id, text): a digest of the text, its shingles' number, and its sketches (null without words)."""
+    """For each (row, id, text): a digest of the text, its shingles' number, its sketches (arbitrary without words), prefix and bitmap."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches):
         for batch in batches:
@@ -122,14 +170,21 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                 shingles, first = labelled_shingles(words(piece, SPACE))
                 n = np.diff(first)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * SKETCHES, SKETCHES), pa.int32()), pa.array(sketches(shingles, first).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c)[piece.lo : piece.hi] for c in range(3)), pa.array(n.astype(np.int64)), values], names=["row", "id", "digest", "n", "sketches"])
+                own, take = prefixes(shingles, first, common.value)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array(own.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c)[piece.lo : piece.hi] for c in range(3)), pa.array(n.astype(np.int64)), values, lists, pa.array(shingle_maps(shingles, first), pa.binary())],
+                    names=["row", "id", "digest", "n", "sketches", "prefix", "bits"],
+                )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("row", "id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text").mapInArrow(run, f"row long, id {kind}, digest binary, n long, sketches array<long>")
+    return docs.select("row", "id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text").mapInArrow(
+        run, f"row long, id {kind}, digest binary, n long, sketches array<long>, prefix array<long>, bits binary"
+    )
 
 
 def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows to verify, from (row, n, sketches).
+    """Pairs (a, b) of rows to verify first, from (row, n, sketches); they make the units, and ``prefix_pairs`` gives the rest.
 
     Buckets are texts with an equal sketch.  In a small bucket all pairs are candidates.  In a larger one each text is paired with
     the most central, which shares buckets with the most texts; then the bucket is divided by the next sketch and so on, so
@@ -161,8 +216,8 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
     return sized.where(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b")
 
 
-def verified(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) that alignment finds to have ``similarity``, and how much. ``texts`` is (row, text)."""
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that alignment finds to have SIMILARITY, and how much. ``texts`` is (row, text)."""
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().select(F.xxhash64("row").alias("h"))
     involved = texts.sparkSession.sparkContext.broadcast(bitmap_of(ends, "h"))  # 8 MB at most
@@ -185,7 +240,7 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
                     for piece in slices(part.column(c)):
                         shingles, first = labelled_shingles(words(piece, SPACE))
                         both[-1] += np.split(shingles, first[1:-1])
-                found = np.array([aligned(x, y, similarity) for x, y in zip(*both, strict=True)])
+                found = np.array([aligned(x, y) for x, y in zip(*both, strict=True)])
                 keep = pa.array(found > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], names=["a", "b", "similarity"]).filter(keep)
 
@@ -194,18 +249,66 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     return both.mapInArrow(compare, "a long, b long, similarity double")
 
 
-def second_chances(scored: DataFrame) -> DataFrame:
-    """Pairs (a, b) not in ``scored`` of a text and the texts nearest to one that it is close to but not linked to.
+def prefix_pairs(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """All pairs (a, b) of texts that may be linked and are not of one unit, with their groups and a bound on what they have in common.
 
-    The text most like a centre that has edits of its own is the one they were both made from, so a member that is just too
-    far from the centre is compared with better ones; NEAREST pairs at most for each such end of a pair.
+    ``texts`` is (row, n, prefix, bits), ``units`` (row, unit).  Linked texts share a shingle of both prefixes, and of the first one
+    that they share on both have enough shingles left.  A text's group is its unit or, outside of units, itself (``-1 - row``).
+    """
+    entries = texts.join(units, "row", "left").select("row", "n", "unit", F.posexplode("prefix").alias("at", "key"))
+    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count("unit").alias("inside"), F.min("unit").alias("low"), F.max("unit").alias("high"))
+    keys = keys.where((F.col("size") > 1) & ((F.col("inside") < F.col("size")) | (F.col("low") < F.col("high"))))
+    keys = keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), (F.col("low") < F.col("high")).alias("several"))
+    entries = written(entries.join(keys, "key"), "entries")
+
+    left = entries.select("key", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.col("row").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("unit").alias("u"), "several")
+    right = entries.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("row").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"), F.col("unit").alias("v"))
+    enough = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) * (1 + SIMILARITY) >= SIMILARITY * (F.col("n_x") + F.col("n_y")) - 1e-6
+    # texts outside of units with all others, and units with units; no text meets its own unit
+    free = left.where("u is null").drop("several").join(right, ["key", "block"]).where((F.col("v").isNotNull() | (F.col("x") < F.col("y"))) & enough)
+    across = left.where("several and u is not null").drop("several").join(right.where("v is not null"), ["key", "block"]).where((F.col("u") < F.col("v")) & enough)
+    group = lambda unit, row: F.coalesce(F.col(unit), -1 - F.col(row))
+    pairs = free.select("x", "y", "u", "v").union(across.select("x", "y", "u", "v")).distinct()
+    pairs = pairs.select("x", "y", group("u", "x").alias("g"), group("v", "y").alias("h"))
+
+    def bound(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (4, 5))
+            n_x, n_y = batch.column(6).to_numpy(), batch.column(7).to_numpy()
+            # a bit of one map only is a shingle of one text only
+            most = np.minimum(n_x - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), n_y - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
+            keep = most * (1 + SIMILARITY) >= SIMILARITY * (n_x + n_y) - 1e-6
+            share = most / (n_x + n_y - most)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(share)], names=["x", "y", "g", "h", "bound"]).filter(pa.array(keep))
+
+    maps = texts.select("row", "n", "bits")
+    mapped = pairs.join(maps.select(F.col("row").alias("x"), F.col("n").alias("n_x"), F.col("bits").alias("p")), "x").join(maps.select(F.col("row").alias("y"), F.col("n").alias("n_y"), F.col("bits").alias("q")), "y")
+    out = mapped.select("x", "y", "g", "h", "p", "q", "n_x", "n_y").mapInArrow(bound, "x long, y long, g long, h long, bound double")
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "g", "h", "bound")
+
+
+def all_links(read: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified pairs (a, b) of ``texts`` whose components are those of all linked pairs.
+
+    Sketches come first.  Then pairs of equal prefix shingles are compared: of two groups the most promising pair, and, where that
+    does not join them, all others.
     """
-    both = scored.select("a", "b", "similarity").union(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    nearest = both.where(F.col("similarity") >= SIMILARITY - 1e-12).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= NEAREST)
-    close = both.where(F.col("similarity") < SIMILARITY - 1e-12).select(F.col("b").alias("x"), "a")
-    pairs = close.join(nearest.select("a", F.col("b").alias("y")), "a").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(scored.select("a", "b"), ["a", "b"], "left_anti")
+    text = read.select("row", "text")
+    links = written(verified(text, candidate_pairs(texts)).select("a", "b"), "links-1")
+    roots = components(links).select(F.col("node").alias("row"), "root")
+    large = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > UNIT)
+    units = written(roots.join(large, "root", "left_semi").select("row", F.col("root").alias("unit")), "units")
+    pairs = written(prefix_pairs(texts, units).join(links, ["a", "b"], "left_anti"), "prefix-pairs")
+    best = written(pairs.groupBy("g", "h").agg(F.max(F.struct("bound", "a", "b")).alias("best")).select("best.a", "best.b"), "best")
+    links = written(links.union(verified(text, best).select("a", "b")), "links-2")
+    roots = written(components(links), "roots")
+    rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
+    for end in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return written(links.union(verified(text, rest).select("a", "b")), "links-3")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal texts are of one class and count as one text.  Texts of similarity SIMILARITY or more are linked, and a class is what
     links connect; ``class_id`` is its smallest document id, ``n_links`` the number of other texts that the document's
-    text is linked to by a verified pair, and ``first`` marks the one document (smallest id, then row) that stands for the class.
+    text is linked to by a verified pair (all pairs are, except that of a unit of over UNIT texts only as many are compared as join
+    it and others to it), and ``first`` marks the one document (smallest id, then row) that stands for the class.
     A null, empty or blank text is a class of its own, and so is each repeated row of one.  Null ids sort first, and
     name a class only if no other id does.  An empty table gives no rows.  ``docs`` must be a scan of files with at
     most filters and projections (rows are numbered by their place).
@@ -222,10 +326,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = written(sketch_table(read), "sketches")
     whole = table.where(F.col("n") > 0)
     stands = whole.groupBy("digest").agg(F.min("row").alias("text_row"))
-    texts = written(whole.join(stands.select(F.col("text_row").alias("row")), "row", "left_semi").select("row", "n", "sketches"), "texts")
-    scored = written(verified(read.select("row", "text"), candidate_pairs(texts), LOOSE), "scored")
-    more = verified(read.select("row", "text"), second_chances(scored))
-    links = written(scored.where(F.col("similarity") >= SIMILARITY - 1e-12).union(more), "verified")
+    texts = written(whole.join(stands.select(F.col("text_row").alias("row")), "row", "left_semi").select("row", "n", "sketches", "prefix", "bits"), "texts")
+    links = all_links(read, texts)
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("text_row")).groupBy("text_row").agg(F.count(F.lit(1)).alias("n_links"))
 
