@@ -161,6 +161,18 @@ def test_shared_passage_with_own_rests(write):
     assert sum(check_classes_and_links(rows, write(rows)).values()) == 100
 
 
+def test_growing_versions(write):
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        text = words(rng, 104)
+        more = words(rng, 40)
+        rows += [(100 * g + i, " ".join(edited(rng, text[:-3] + words(rng, 3), 0))) for i in range(12)]
+        rows += [(100 * g + 50 + n, " ".join(text + more[:n])) for n in (18, 30)]
+    n = check_classes_and_links(rows, write(rows))
+    assert all(n[100 * g + 80] == 1 for g in range(12))
+
+
 def test_texts_beside_a_unit(write):
     rng = random.Random(10)
     base = words(rng, 150)
