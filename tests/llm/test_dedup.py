@@ -57,6 +57,18 @@ def test_every_repeated_passage_is_found(corpus):
     assert not set(clean) - {None} & set(found) or all(found[d] == 0 for d in clean if by_id[d] == 0)
 
 
+def test_edited_copies_between_do_not_hide_a_passage(write):
+    rng = random.Random(12)
+    rows = []
+    for g in range(10):
+        p = words(rng, 54)
+        own = lambda: words(rng, 20)
+        rows += [(10 * g, " ".join(own() + p + own())), (10 * g + 1, " ".join(own() + p[4:50] + own())), (10 * g + 2, " ".join(own() + p + own()))]
+    _, spans = suffixes.repeats(write(rows))
+    got = {(r.id, r.begin, r.end, r.duplicate, r.other) for r in spans.collect()}
+    assert got == {(10 * g + i, 20, 74, i > 0, 10 * g + 2 - i) for g in range(10) for i in (0, 2)}
+
+
 def test_cutting_leaves_one_copy(corpus, empty):
     out = suffixes.without_duplicates(corpus).collect()
     rows = [(r.doc_id, r.text) for r in out]

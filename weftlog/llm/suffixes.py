@@ -4,10 +4,9 @@ Positions.  Of every run of ``SPARSE`` consecutive word positions the one whose
 all ties; the choice depends on the words alone, so equal passages retain equal positions.
 Suffixes.  The suffixes at retained positions are sorted by the hash of their first ``PREFIX`` words and compared with their
 neighbours; those equal to one are candidates.  SPARSE + PREFIX - 1 = CORE, so every repeated passage of CORE words holds one.
-Extension.  Around candidates, passages of CORE words that begin at winnowed positions (one in any ``STEP``) are matched, and
-each match is extended left and right by up to STEP - 1 words against the neighbouring occurrences.  CORE + STEP - 1 = LENGTH,
-so each passage of LENGTH words that occurs twice or more, in one text or in several, is found, and no passage under CORE words is.
-Words beside a passage are compared by CONTEXT_BITS of their hash, so about one extension in 2,000 runs a word too far.
+Passages.  Windows of LENGTH words whose own first run retains candidates only are matched by the hash of all their words, and
+overlapping ones are joined.  So each passage of LENGTH words that occurs twice or more, in one text or in several, is found,
+whatever other texts share of it, and no shorter passage is.
 """
 
 from __future__ import annotations
@@ -21,11 +20,8 @@ from weftlog.llm.bitmap import bitmap_of, passes
 from weftlog.llm.storage import written
 from weftlog.llm.text import SPACE, Words, slices, sliding_minimum, spans, window_hashes, window_starts, words
 
-LENGTH, STEP, GRAM, SPARSE = 50, 6, 5, 16
-CORE = LENGTH - STEP + 1
+LENGTH, CORE, GRAM, SPARSE = 50, 45, 5, 16
 PREFIX = CORE - SPARSE + 1
-#: Bits of a word in the context beside a passage; STEP - 1 words fill a long.
-CONTEXT_BITS = 12
 #: Occurrences of one passage beyond which they are dealt to several tasks.
 HOT = 2_000
 
@@ -40,18 +36,6 @@ def retained(grams: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
     return chosen
 
 
-def contexts(w: Words, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, side: int) -> np.ndarray:
-    """STEP - 1 words before (side -1) or behind (side 1) a passage, nearest first and highest; 0 beyond the text."""
-    out = np.zeros(len(at), np.int64)
-    for i in range(STEP - 1):
-        where = at - 1 - i if side < 0 else at + CORE + i
-        ok = (where >= lo) & (where < hi)
-        word = np.zeros(len(at), np.int64)
-        word[ok] = (w.hashes[where[ok]] >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64) | 1
-        out |= word << (CONTEXT_BITS * (STEP - 2 - i))
-    return out
-
-
 def _list_column(values: np.ndarray, per_text: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32()), pa.array(values, kind))
 
@@ -110,7 +94,7 @@ def candidates(table: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Winnowed passages of CORE words all of whose retained suffixes are candidates: (hash, row, id, at, before, behind)."""
+    """Windows of LENGTH words whose first run retains candidates only: (hash, row, id, at)."""
     by_row = written(found.groupBy("row").agg(F.collect_list("at").alias("found")), "candidates")  # a text's own positions
     involved = docs.sparkSession.sparkContext.broadcast(bitmap_of(by_row.select(F.xxhash64("row").alias("h")), "h"))  # 8 MB at most
 
@@ -131,39 +115,25 @@ def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
                 own = found[piece.lo : piece.hi]
                 hit = np.zeros(len(w.hashes) + 1, dtype=bool)
                 hit[own.flatten().to_numpy() + np.repeat(w.first[:-1], own.value_lengths().to_numpy())] = True
-                at = np.flatnonzero(retained(grams, window_starts(w.first, LENGTH), STEP))
+                at = window_starts(w.first, LENGTH)
                 if len(at):
-                    # what the passage's own first run retains depends on its words alone, and must be candidates
+                    # what the window's own first run retains depends on its words alone, and must be candidates
                     least = sliding_minimum(grams, SPARSE)[at]
                     ok = np.ones(len(at), dtype=bool)
                     for i in range(SPARSE):
                         ok &= (grams[at + i] != least) | hit[at + i]
                     at = at[ok]
                 text = w.texts[at]
-                lo, hi = w.first[text], w.first[text + 1]
                 per = np.bincount(text, minlength=piece.hi - piece.lo)
+                hashes = window_hashes(w.hashes, LENGTH)[at].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[piece.lo : piece.hi], batch.column(1)[piece.lo : piece.hi], _list_column(window_hashes(w.hashes, CORE)[at].astype(np.int64), per, pa.int64()), _list_column((at - lo).astype(np.int32), per, pa.int32()),
-                        _list_column(contexts(w, at, lo, hi, -1), per, pa.int64()), _list_column(contexts(w, at, lo, hi, 1), per, pa.int64()),
-                    ],
-                    names=["row", "id", "hash", "at", "before", "behind"],
-                )
+                    [batch.column(0)[piece.lo : piece.hi], batch.column(1)[piece.lo : piece.hi], _list_column(hashes, per, pa.int64()), _list_column((at - w.first[text]).astype(np.int32), per, pa.int32())],
+                    names=["row", "id", "hash", "at"],
+                )
 
     joined = texts.join(by_row, "row").select("row", "id", "text", "found")
-    out = joined.mapInArrow(run, f"row long, id {kind}, hash array<long>, at array<int>, before array<long>, behind array<long>")
-    return out.select("row", "id", F.inline(F.arrays_zip("hash", "at", "before", "behind")))
-
-
-def shared_context(a, b):
-    """Words that two contexts have in common from the nearest on; words beyond a text's end are 0 and match nothing."""
-    mask = (1 << CONTEXT_BITS) - 1
-    same = F.lit(STEP - 1)
-    for i in reversed(range(STEP - 1)):
-        shift = CONTEXT_BITS * (STEP - 2 - i)
-        x, y = F.shiftright(a, shift).bitwiseAND(F.lit(mask)), F.shiftright(b, shift).bitwiseAND(F.lit(mask))
-        same = F.when((x == y) & (x > 0), same).otherwise(F.lit(i))
-    return F.coalesce(same, F.lit(0))
+    out = joined.mapInArrow(run, f"row long, id {kind}, hash array<long>, at array<int>")
+    return out.select("row", "id", F.inline(F.arrays_zip("hash", "at")))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -188,12 +158,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     salted = rows.join(hot, "hash", "left").withColumn("salt", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("row", "at"), F.ceil(F.col("n") / HOT))).otherwise(0))
     by = Window.partitionBy("hash", "salt").orderBy("id", "row", "at")
     near = salted.repartition("hash", "salt").select(
-        "row", "id", "at", "before", "behind", F.coalesce("first", F.first(place).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("first"), F.col("n").isNotNull().alias("hot"),
-        F.lag(F.struct("id", "before", "behind")).over(by).alias("prev"), F.lead(F.struct("id", "before", "behind")).over(by).alias("next"),
+        "row", "id", "at", F.coalesce("first", F.first(place).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("first"), F.col("n").isNotNull().alias("hot"),
+        F.lag(F.struct("id")).over(by).alias("prev"), F.lead(F.struct("id")).over(by).alias("next"),
     ).where(F.col("hot") | F.col("prev").isNotNull() | F.col("next").isNotNull())
-    ext = lambda side: F.greatest(shared_context(F.col(side), F.col(f"prev.{side}")), shared_context(F.col(side), F.col(f"next.{side}")))
     duplicate = ~((F.col("first.row") == F.col("row")) & (F.col("first.at") == F.col("at")))
-    matches = near.select("row", "id", (F.col("at") - ext("before")).alias("begin"), (F.col("at") + CORE + ext("behind")).alias("end"), duplicate.alias("duplicate"), F.when(duplicate, F.col("first.id")).otherwise(F.col("next.id")).alias("other"))
+    matches = near.select("row", "id", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end"), duplicate.alias("duplicate"), F.when(duplicate, F.col("first.id")).otherwise(F.col("next.id")).alias("other"))
 
     # runs of overlapping matches of a kind, inside one text
     own = Window.partitionBy("row", "duplicate").orderBy("begin", "end")
@@ -201,7 +170,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     runs = matches.withColumn("new", F.when(F.col("begin") <= upto, 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     spans = runs.groupBy("row", "duplicate", "run").agg(F.first("id").alias("id"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min_by("other", "begin").alias("other"))
-    return table.select("row", F.col("id"), "n_words"), spans.where(F.col("end") - F.col("begin") >= LENGTH).select("row", "id", "begin", "end", "duplicate", "other")
+    return table.select("row", F.col("id"), "n_words"), spans.select("row", "id", "begin", "end", "duplicate", "other")
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
