@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -193,3 +194,18 @@ def test_toxicity_held_out(spark, write):
     assert got[90_002].predicted == 1 and got[90_000].score == got[90_001].score
     blind = toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).agg(F.max("predicted")).first()[0]
     assert blind == 0 and toxicity.without_toxic(docs, labels).where("doc_id = 90002").count() == 0
+
+
+def test_all_labelled_rows_teach(spark, write, monkeypatch):
+    rng = random.Random(31)
+    rows, marks = [], []
+    for i in range(1500):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join(words(rng, 30) + (["vile" + "abcdefghij"[i // 5 % 10] * 9] if toxic else []) + words(rng, 10))))
+        if i % 3 == 0:
+            marks.append((i, int(toxic)))
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 150)
+    seen, fit_model = [], toxicity.fit_label_model
+    monkeypatch.setattr(toxicity, "fit_label_model", lambda spoken, label, *n: seen.append(sum(n[0]) if n else len(label)) or fit_model(spoken, label, *n))
+    toxicity.fit(write(rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)]

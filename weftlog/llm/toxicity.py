@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from weftlog.llm.storage import bounded_memory, written
 from weftlog.llm.text import ALNUM, LOWER, Slice, _position_keys, mix, slices, words
 
-#: Expected documents of the sample that voters, label model and classifier are fitted on, labelled or not.
+#: Expected labelled documents of the sample that the regression is trained on; unlabelled ones are drawn at the same rate.
 SAMPLE_DOCS = 20_000
 #: Bytes of word beginnings.
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -123,19 +123,19 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
 
 
-def _fit_rates(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
-    weight = np.stack((1 - toxic, toxic))
+def _fit_rates(votes: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
+    weight = np.stack((1 - toxic, toxic)) * n
     rates = (weight @ votes + 0.1) / (weight.sum(1, keepdims=True) + 10)
-    return float((toxic.sum() + 1) / (len(toxic) + 2)), np.clip(rates, 1e-4, 1 - 1e-4)
+    return float(((toxic * n).sum() + 1) / (n.sum() + 2)), np.clip(rates, 1e-4, 1 - 1e-4)
 
 
-def fit_label_model(spoken: np.ndarray, label: np.ndarray) -> LabelModel:
-    """Expectation maximisation over all rows; ``label`` is 0, 1 or -1 (none), and known labels start it and stay."""
+def fit_label_model(spoken: np.ndarray, label: np.ndarray, n: np.ndarray) -> LabelModel:
+    """Expectation maximisation over rows that stand for ``n`` each; ``label`` is 0, 1 or -1 (none), and known labels start it and stay."""
     known = label >= 0
 
     def correlate(toxic: np.ndarray) -> np.ndarray:
         out = np.zeros((spoken.shape[1],) * 2)
-        for weight in (1 - toxic, toxic):
+        for weight in ((1 - toxic) * n, toxic * n):
             if weight.sum() > 1:
                 centred = spoken - (weight @ spoken) / weight.sum()
                 cov = (centred * weight[:, None]).T @ centred / weight.sum()
@@ -146,10 +146,10 @@ def fit_label_model(spoken: np.ndarray, label: np.ndarray) -> LabelModel:
     def run(groups: np.ndarray) -> tuple[LabelModel, np.ndarray]:
         model = LabelModel(groups, 0.5, np.zeros((2, groups.max(initial=-1) + 1)), np.zeros((0, 0)))
         votes = model.votes(spoken).astype(np.float64)
-        model.prior, model.rates = _fit_rates(votes[known], label[known].astype(float))
+        model.prior, model.rates = _fit_rates(votes[known], label[known].astype(float), n[known])
         for _ in range(ROUNDS):
             toxic = np.where(known, label, model.posterior(spoken))
-            model.prior, model.rates = _fit_rates(votes, toxic)
+            model.prior, model.rates = _fit_rates(votes, toxic, n)
         return model, toxic
 
     model, toxic = run(np.arange(spoken.shape[1]))
@@ -179,25 +179,26 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
-    """Fit on about SAMPLE_DOCS documents that are not held out. Without labels of both kinds every score is the share of toxic ones (0 without any)."""
+    """Fit on all documents that are not held out, the regression on a sample of them with about SAMPLE_DOCS labelled ones.
+
+    Without labels of both kinds every score is the share of toxic ones (0 without any).
+    """
     bounded_memory(docs.sparkSession)
-    n = docs.count()
-    drawn = docs.where(~held_out(F.col(id_col)) & (F.pmod(F.xxhash64(F.col(id_col), F.lit(13)), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_DOCS / max(n, 1)))))
-    taught = labels.where(~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    sample = drawn.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(taught, "id", "left")
-    sample = written(sample.select("text", F.coalesce(F.col("label").cast("int"), F.lit(-1)).alias("label")), "toxicity-sample")
-    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taught = labels.where(~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).where("label is not null")
+    teaching = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    labelled = written(teaching.join(taught, "id").select("text", "label"), "toxicity-labelled")
+    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
         rate = float(np.clip(toxic / max(1, clean + toxic), 1e-6, 1 - 1e-6))
         return Scorer(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
 
-    in_toxic = count_by_text(sample.where("label = 1"), None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "hash").limit(CANDIDATES).collect()
+    in_toxic = count_by_text(labelled.where("label = 1"), None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "hash").limit(CANDIDATES).collect()
     known = np.sort(np.array([r["hash"] for r in in_toxic], np.int64).astype(np.uint64))
     of = {int(np.uint64(r["hash"] & 0xFFFFFFFFFFFFFFFF)): r["n"] for r in in_toxic}
     positive = np.array([of[int(x)] for x in known], float)
     negative = np.zeros(len(known))
-    for r in count_by_text(sample.where("label = 0"), known).collect():  # CANDIDATES at most
+    for r in count_by_text(labelled.where("label = 0"), known).collect():  # CANDIDATES at most
         negative[np.searchsorted(known, np.uint64(r["hash"] & 0xFFFFFFFFFFFFFFFF))] = r["n"]
     strength = np.log((positive + 0.5) / (toxic + 1)) - np.log((negative + 0.5) / (clean + 1))
     gain = positive * np.maximum(strength, 0)
@@ -214,30 +215,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 text, at = occurring(piece, table, few)
                 per = np.bincount(text, minlength=piece.hi - piece.lo)
                 found = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32()), pa.array(at.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(1)[piece.lo : piece.hi], found], names=["label", "found"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[piece.lo : piece.hi], found], names=["id", "found"])
 
-    seen = written(sample.mapInArrow(present, "label int, found array<int>"), "toxicity-features")
+    kind = docs.schema[id_col].dataType.simpleString()
+    marked = teaching.select("text", "id").mapInArrow(present, f"id {kind}, found array<int>").join(taught, "id", "left")
+    seen = written(marked.select("id", F.coalesce("label", F.lit(-1)).alias("label"), "found"), "toxicity-features")
 
-    # votes of the bounded sample, as places among the voters
+    # how often all documents vote alike, as places among the voters
     place = {int(np.searchsorted(chosen, v)): i for i, v in enumerate(voters)}
     own = F.array(*[F.lit(i) for i in place]) if place else F.array().cast("array<int>")
     rows = seen.select("label", F.array_intersect("found", own).alias("votes")).groupBy("label", "votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    count = sum(r["n"] for r in rows)
-    spoken, label, at = np.zeros((count, max(1, len(voters))), dtype=np.float64), np.zeros(count, int), 0
-    for r in rows:
-        for v in r["votes"]:
-            spoken[at : at + r["n"], place[v]] = 1
-        label[at : at + r["n"]] = r["label"]
-        at += r["n"]
-    model = fit_label_model(spoken.astype(bool), label)
-
-    patterns, which = np.unique(spoken.astype(bool), axis=0, return_index=True)
+    spoken, label = np.zeros((len(rows), max(1, len(voters))), dtype=bool), np.array([r["label"] for r in rows], int)
+    for at, r in enumerate(rows):
+        spoken[at, [place[v] for v in r["votes"]]] = True
+    model = fit_label_model(spoken, label, np.array([r["n"] for r in rows], float))
+
+    patterns, which = np.unique(spoken, axis=0, return_index=True)
     posterior = {tuple(sorted(v for v, i in place.items() if p[i])): float(x) for p, x in zip(patterns, model.posterior(patterns), strict=True)}
     vector = F.udf(lambda found: SparseVector(len(table), [int(x) for x in found], [1.0] * len(found)), VectorUDT())
     votes_of = frozenset(place)
     # what the model believes of a row, given its votes and, where it is known, its label
     weigh = F.udf(lambda found, label: float(label) if label >= 0 else posterior.get(tuple(x for x in found if x in votes_of), 0.5), T.DoubleType())
-    soft = seen.select(vector("found").alias("features"), weigh("found", "label").alias("p"))
+    drawn = seen.where(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_DOCS / (clean + toxic))))
+    soft = drawn.select(vector("found").alias("features"), weigh("found", "label").alias("p"))
     taught = soft.select("features", F.lit(1.0).alias("label"), F.col("p").alias("weight")).union(soft.select("features", F.lit(0.0), 1 - F.col("p"))).where("weight > 0.001")
     taught = written(taught, "toxicity-training")
     line = LogisticRegression(maxIter=40, regParam=1e-4, standardization=False, weightCol="weight").fit(taught)
