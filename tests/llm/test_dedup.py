@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import CLASHING, corpus_rows, edited, words
 from weftlog.llm import components, neardup, suffixes
@@ -37,36 +38,58 @@ def repeated_words(rows, length):
     return out, dup
 
 
-def test_every_repeated_passage_is_found(corpus):
-    rows = corpus_rows()
-    _, spans = suffixes.repeats(corpus)
-    found = Counter()
-    for r in spans.collect():
-        assert r.end - r.begin >= suffixes.LENGTH
-        found[r.id] += len(range(r.begin, r.end))
-    needed, _ = repeated_words(rows, suffixes.LENGTH)
-    allowed, _ = repeated_words(rows, suffixes.CORE)
-    by_id, most = Counter(), Counter()
-    for i, (doc, _) in enumerate(rows):
-        by_id[doc] += len(needed[i])
-        most[doc] += len(allowed[i])
-    for doc in {d for d, _ in rows}:
-        # a text whose copies differ in what is first has spans of both kinds
-        assert found[doc] >= by_id[doc] and (found[doc] == 0) == (by_id[doc] == 0) and found[doc] <= 2 * most[doc] + 2
-    clean = [d for i, (d, t) in enumerate(rows) if not needed[i]]
-    assert not set(clean) - {None} & set(found) or all(found[d] == 0 for d in clean if by_id[d] == 0)
+def check_spans(docs):
+    """Spans against brute force: each is true, and together they hold exactly the windows that occur earlier, and twice or more."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").collect()
+    place = {r.row: (r.doc_id is not None, r.doc_id or 0, r.row) for r in numbered}
+    texts, ids, n = {r.row: split_words(r.text) for r in numbered}, {r.row: r.doc_id for r in numbered}, suffixes.LENGTH
+    at = {}
+    for row in sorted(texts, key=place.get):
+        for s in range(len(texts[row]) - n + 1):
+            at.setdefault(tuple(texts[row][s : s + n]), []).append((row, s))
+    again = {x for places in at.values() for x in places[1:]}
+    twice = {x for places in at.values() if len(places) > 1 for x in places}
+    rows_of = {}
+    for row, i in ids.items():
+        rows_of.setdefault(i, []).append(row)
+    got = {True: set(), False: set()}
+    spans = suffixes.repeats(docs)[1].collect()
+    for r in spans:
+        own = texts[r.row][r.begin : r.end]
+        assert ids[r.row] == r.id and len(own) == r.end - r.begin >= n
+        held = [(*place[o], r.other_begin) for o in rows_of[r.other] if texts[o][r.other_begin : r.other_begin + len(own)] == own]
+        assert any((x < (*place[r.row], r.begin)) == r.duplicate and x != (*place[r.row], r.begin) for x in held), r
+        got[r.duplicate] |= {(r.row, s) for s in range(r.begin, r.end - n + 1)}
+    assert got[True] == again and got[True] | got[False] == twice
+    return spans
+
+
+def test_spans_equal_brute_force(corpus):
+    assert len(check_spans(corpus)) > 20
+
+
+def test_hot_passages_over_several_ranges(write):
+    rng = random.Random(13)
+    hot, p = words(rng, 64), words(rng, 90)
+    rows = [(i, " ".join(words(rng, rng.randrange(0, 12)) + hot[rng.randrange(0, 8) : 64 - rng.randrange(0, 6)] + words(rng, 5))) for i in range(400)]
+    rows += [(1000 + i, " ".join(words(rng, 9) + p[10 * i : 10 * i + 55] + words(rng, 9))) for i in range(4)] + [(2000, "tick tock " * 90), (2001, "tock tick " * 60)]
+    check_spans(write(rows, 5))
 
 
 def test_edited_copies_between_do_not_hide_a_passage(write):
     rng = random.Random(12)
     rows = []
-    for g in range(10):
-        p = words(rng, 54)
+    for g in range(60):
+        p = words(rng, 50)
         own = lambda: words(rng, 20)
-        rows += [(10 * g, " ".join(own() + p + own())), (10 * g + 1, " ".join(own() + p[4:50] + own())), (10 * g + 2, " ".join(own() + p + own()))]
-    _, spans = suffixes.repeats(write(rows))
-    got = {(r.id, r.begin, r.end, r.duplicate, r.other) for r in spans.collect()}
-    assert got == {(10 * g + i, 20, 74, i > 0, 10 * g + 2 - i) for g in range(10) for i in (0, 2)}
+        rows += [(10 * g, " ".join(own() + p + own())), (10 * g + 1, " ".join(own() + p[2:48] + own())), (10 * g + 2, " ".join(own() + p + own()))]
+    got = {(r.id, r.begin, r.end, r.duplicate, r.other, r.other_begin) for r in check_spans(write(rows))}
+    assert got == {(10 * g + i, 20, 70, i > 0, 10 * g + 2 - i, 20) for g in range(60) for i in (0, 2)}
+
+
+def test_rows_of_any_table_are_numbered_once(spark, corpus):
+    other = corpus.repartition(3, "text").withColumn("x", F.rand())
+    assert len(suffixes.repeats(other)[1].collect()) == len(suffixes.repeats(corpus)[1].collect())
 
 
 def test_cutting_leaves_one_copy(corpus, empty):
@@ -77,7 +100,7 @@ def test_cutting_leaves_one_copy(corpus, empty):
     assert not any(left.values())
     before = Counter(corpus_rows())
     clean = {7: None, 3: None}
-    untouched = [r for r in corpus_rows() if r[1] and len(split_words(r[1])) < suffixes.CORE]
+    untouched = [r for r in corpus_rows() if r[1] and len(split_words(r[1])) < suffixes.LENGTH]
     assert all(Counter(rows)[r] == before[r] for r in untouched) and clean
     assert sum(t is None for _, t in rows) == sum(t is None for _, t in corpus_rows())
     assert all(r.n_chars == len(r.text) for r in out if r.text is not None)

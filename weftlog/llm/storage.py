@@ -47,6 +47,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if it is a scan of files with at most filters and projections, which numbers its rows alike each time it is read; else a written copy."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = [plan]
+    for node in nodes:
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    if {node.nodeName() for node in nodes} <= {"LogicalRelation", "Project", "Filter"}:
+        return df
+    return written(df, "rows")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and path of a URI or an absolute local path."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri[5:])
