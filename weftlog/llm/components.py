@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftlog.llm.storage import written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b): root is the smallest node of its component.
 
     Large-star and small-star rounds in turn: the first moves a node's larger neighbours, the second its smaller ones, to the
@@ -26,7 +26,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     now = written(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x != y").distinct(), "links")
     before = mark(now)
-    for _ in range(most_rounds):
+    while True:  # ends, as each round moves links to smaller nodes or none
         both = now.select(F.col("x").alias("a"), F.col("y").alias("b")).union(now.select(F.col("y").alias("a"), F.col("x").alias("b")))
         large = smallest(both, both.where("b > a")).distinct()
         down = large.select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -17,18 +17,12 @@ from pyspark.sql import functions as F
 
 from weftlog.llm.bitmap import bitmap_of, passes
 from weftlog.llm.components import components
-from weftlog.llm.storage import written
+from weftlog.llm.storage import stable, written
 from weftlog.llm.text import SPACE, Words, mix, slices, span_hashes, window_hashes, window_starts, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Sketches of a text; a pair of similarity 0.8 shares each with a chance of about 0.64.
+#: Sketches of a text; a pair of similarity 0.8 shares each with a chance of about 0.64. They bound the work only: what they leave is found by prefixes.
 SKETCHES, TUPLE = 12, 2
-#: Up to this many texts in a bucket all are compared; larger buckets are compared with their most central text and divided by the next sketch.
-SMALL = 8
-#: Sketches by which a bucket is divided at most. This bounds the work of the sketches only: what they leave is compared by prefixes.
-DEPTH = 5
-#: Texts that sketches join to a class of more than UNIT are one unit: pairs inside it would join nothing more and are not compared.
-UNIT = 50
 #: Entries of a shingle from which its pairs are dealt to several tasks.
 BLOCK = 500
 #: Bits of a text's map of shingles.
@@ -186,34 +180,19 @@ def sketch_table(docs: DataFrame) -> DataFrame:
 def candidate_pairs(texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows to verify first, from (row, n, sketches); they make the units, and ``prefix_pairs`` gives the rest.
 
-    Buckets are texts with an equal sketch.  In a small bucket all pairs are candidates.  In a larger one each text is paired with
-    the most central, which shares buckets with the most texts; then the bucket is divided by the next sketch and so on, so
-    that the pairs grow with the rows and not with the squares of the buckets.
+    Buckets are texts with an equal sketch, and those whose next sketch is equal too.  Each text is paired with the most central of
+    its bucket, which shares buckets with the most texts, so the pairs grow with the rows and not with the squares of the buckets.
     """
-    level = texts.select("row", F.posexplode("sketches").alias("j", "key"))
+    pair = lambda j: F.array(F.get("sketches", F.lit(j)), F.xxhash64(F.get("sketches", F.lit(j)), F.get("sketches", F.lit((j + 1) % SKETCHES))))
+    level = texts.select("row", "n", F.explode(F.flatten(F.array(*[pair(j) for j in range(SKETCHES)]))).alias("key"))
     sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     level = written(level.join(sizes, "key"), "buckets")
-    centrality = written(level.groupBy("row").agg(F.sum("size").alias("score")), "centrality")
-    level = level.drop("size").join(centrality, "row")
-    divided = texts.join(centrality.select("row"), "row", "left_semi").select("row", "sketches")
-    pairs = None
-    for depth in range(DEPTH):
-        level = written(level, "level")
-        best = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("score", (-F.col("row")).alias("minus"))).alias("best")).where(F.col("size") > 1)
-        sized = written(level.join(best, "key"), "sized")
-        few = sized.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list("row").alias("rows"))  # SMALL at most
-        every = few.select(F.explode("rows").alias("a"), "rows").select("a", F.explode("rows").alias("b")).where("a < b")
-        large = sized.where(F.col("size") > SMALL)
-        led = large.select(F.least("row", -F.col("best.minus")).alias("a"), F.greatest("row", -F.col("best.minus")).alias("b")).where("a < b")
-        found = every.union(led).distinct()
-        pairs = found if pairs is None else pairs.union(found)
-        if depth + 1 == DEPTH or large.isEmpty():
-            break
-        nth = (F.col("j") + depth + 1) % SKETCHES
-        level = large.select("row", "j", "key", "score").join(divided, "row").select("row", "j", F.xxhash64("key", F.get("sketches", nth)).alias("key"), "score")
-    n = texts.select("row", "n")
-    sized = pairs.distinct().join(n.select(F.col("row").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("row").alias("b"), F.col("n").alias("n_b")), "b")
-    return sized.where(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b")
+    centrality = level.groupBy("row").agg(F.sum("size").alias("score"))
+    level = written(level.drop("size").join(centrality, "row"), "level")
+    best = written(level.groupBy("key").agg(F.max(F.struct("score", (-F.col("row")).alias("minus"), "n")).alias("best")), "centres")
+    led = level.join(best, "key").select("row", "n", (-F.col("best.minus")).alias("centre"), F.col("best.n").alias("m")).where(F.col("row") != F.col("centre"))
+    led = led.where(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m"))
+    return led.select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")).distinct()
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -250,26 +229,26 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(texts: DataFrame, units: DataFrame) -> DataFrame:
-    """All pairs (a, b) of texts that may be linked and are not of one unit, with their groups and a bound on what they have in common.
+    """All pairs (x, y) of texts that may be linked and are not of one unit, with their units and a bound on what they have in common.
 
-    ``texts`` is (row, n, prefix, bits), ``units`` (row, unit).  Linked texts share a shingle of both prefixes, and of the first one
-    that they share on both have enough shingles left.  A text's group is its unit or, outside of units, itself (``-1 - row``).
+    ``texts`` is (row, n, prefix, bits), ``units`` (row, unit); a text outside of units is one of its own (``-1 - row``).  Linked
+    texts share a shingle of both prefixes, and of the first one that they share on both have enough shingles left.  Of
+    the shorter of both (by n, then row) the prefix for texts of its own length does, as all others must share more with it.
+    So texts with a ninth of rare shingles never meet by the frequent ones that they share.
     """
-    entries = texts.join(units, "row", "left").select("row", "n", "unit", F.posexplode("prefix").alias("at", "key"))
-    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count("unit").alias("inside"), F.min("unit").alias("low"), F.max("unit").alias("high"))
-    keys = keys.where((F.col("size") > 1) & ((F.col("inside") < F.col("size")) | (F.col("low") < F.col("high"))))
-    keys = keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), (F.col("low") < F.col("high")).alias("several"))
+    unit = F.coalesce("unit", -1 - F.col("row"))
+    entries = texts.join(units, "row", "left").select("row", "n", unit.alias("unit"), F.posexplode("prefix").alias("at", "key"))
+    entries = entries.withColumn("short", F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9))
+    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("short").alias("any"), F.min("unit").alias("low"), F.max("unit").alias("high"))
+    keys = keys.where("any and size > 1 and low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     entries = written(entries.join(keys, "key"), "entries")
 
-    left = entries.select("key", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.col("row").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("unit").alias("u"), "several")
-    right = entries.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("row").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"), F.col("unit").alias("v"))
+    left = entries.select("key", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.col("row").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("unit").alias("g"))
+    right = entries.where("short").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("row").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"), F.col("unit").alias("h"))
     enough = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) * (1 + SIMILARITY) >= SIMILARITY * (F.col("n_x") + F.col("n_y")) - 1e-6
-    # texts outside of units with all others, and units with units; no text meets its own unit
-    free = left.where("u is null").drop("several").join(right, ["key", "block"]).where((F.col("v").isNotNull() | (F.col("x") < F.col("y"))) & enough)
-    across = left.where("several and u is not null").drop("several").join(right.where("v is not null"), ["key", "block"]).where((F.col("u") < F.col("v")) & enough)
-    group = lambda unit, row: F.coalesce(F.col(unit), -1 - F.col(row))
-    pairs = free.select("x", "y", "u", "v").union(across.select("x", "y", "u", "v")).distinct()
-    pairs = pairs.select("x", "y", group("u", "x").alias("g"), group("v", "y").alias("h"))
+    longer = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") > F.col("y")))
+    met = left.join(right, ["key", "block"]).where(longer & (F.col("g") != F.col("h")) & (F.col("n_y") >= SIMILARITY * F.col("n_x") - 1e-6) & enough)
+    pairs = met.select("x", "y", "g", "h").distinct()
 
     def bound(batches):
         for batch in batches:
@@ -286,61 +265,60 @@ def prefix_pairs(texts: DataFrame, units: DataFrame) -> DataFrame:
     maps = texts.select("row", "n", "bits")
     mapped = pairs.join(maps.select(F.col("row").alias("x"), F.col("n").alias("n_x"), F.col("bits").alias("p")), "x").join(maps.select(F.col("row").alias("y"), F.col("n").alias("n_y"), F.col("bits").alias("q")), "y")
     out = mapped.select("x", "y", "g", "h", "p", "q", "n_x", "n_y").mapInArrow(bound, "x long, y long, g long, h long, bound double")
-    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "g", "h", "bound")
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), "bound")
 
 
-def all_links(read: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of ``texts`` whose components are those of all linked pairs.
+def classes(read: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the texts that are linked: the components of all pairs of similarity SIMILARITY.
 
-    Sketches come first.  Then pairs of equal prefix shingles are compared: of two groups the most promising pair, and, where that
-    does not join them, all others.
+    Sketches come first; what they join is a unit.  Then pairs of equal prefix shingles are compared: of two units the most promising
+    pair, and, where that does not join them, all others.
     """
     text = read.select("row", "text")
-    links = written(verified(text, candidate_pairs(texts)).select("a", "b"), "links-1")
-    roots = components(links).select(F.col("node").alias("row"), "root")
-    large = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > UNIT)
-    units = written(roots.join(large, "root", "left_semi").select("row", F.col("root").alias("unit")), "units")
-    pairs = written(prefix_pairs(texts, units).join(links, ["a", "b"], "left_anti"), "prefix-pairs")
+    links = written(verified(text, candidate_pairs(texts)).select("a", "b"), "links")
+    units = written(components(links), "units")
+    pairs = written(prefix_pairs(texts, units.select(F.col("node").alias("row"), F.col("root").alias("unit"))), "prefix-pairs")
     best = written(pairs.groupBy("g", "h").agg(F.max(F.struct("bound", "a", "b")).alias("best")).select("best.a", "best.b"), "best")
-    links = written(links.union(verified(text, best).select("a", "b")), "links-2")
+    links = written(links.union(verified(text, best).select("a", "b")), "links")
     roots = written(components(links), "roots")
     rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
     for end in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return written(links.union(verified(text, rest).select("a", "b")), "links-3")
+    rest = written(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
+    if rest.isEmpty():
+        return roots
+    return written(components(links.union(verified(text, rest).select("a", "b"))), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Classes of equal and near-equal documents: one row for each document with row, id, class_id, n_links, first.
+    """Classes of equal and near-equal documents: one row for each document with row, id, class_id, first.
 
     Equal texts are of one class and count as one text.  Texts of similarity SIMILARITY or more are linked, and a class is what
-    links connect; ``class_id`` is its smallest document id, ``n_links`` the number of other texts that the document's
-    text is linked to by a verified pair (all pairs are, except that of a unit of over UNIT texts only as many are compared as join
-    it and others to it), and ``first`` marks the one document (smallest id, then row) that stands for the class.
-    A null, empty or blank text is a class of its own, and so is each repeated row of one.  Null ids sort first, and
-    name a class only if no other id does.  An empty table gives no rows.  ``docs`` must be a scan of files with at
-    most filters and projections (rows are numbered by their place).
+    links connect; ``class_id`` is its smallest document id, and ``first`` marks the one document (smallest id, then row) that
+    stands for the class.  A null, empty or blank text is a class of its own, and so is each repeated row of one.  Null ids sort
+    first, and name a class only if no other id does.  An empty table gives no rows.
     """
+    docs = stable(docs)
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     table = written(sketch_table(read), "sketches")
-    whole = table.where(F.col("n") > 0)
-    stands = whole.groupBy("digest").agg(F.min("row").alias("text_row"))
-    texts = written(whole.join(stands.select(F.col("text_row").alias("row")), "row", "left_semi").select("row", "n", "sketches", "prefix", "bits"), "texts")
-    links = all_links(read, texts)
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("text_row")).groupBy("text_row").agg(F.count(F.lit(1)).alias("n_links"))
-
-    by_digest = stands.join(roots.withColumnRenamed("node", "text_row"), "text_row", "left").join(degree, "text_row", "left")
-    by_digest = by_digest.select("digest", F.coalesce("root", "text_row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = table.select("row", "id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(by_digest, "digest", "left")
-    placed = written(placed.select("row", "id", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
-    heads = placed.groupBy("root").agg(F.min(F.struct("id", "row")).alias("head"), F.min("id").alias("class_id"))
-    return placed.join(heads, "root").select("row", "id", "class_id", "n_links", (F.col("head.row") == F.col("row")).alias("first"))
+    # of equal texts the one that stands for them all, and the smallest id
+    stands = written(table.where(F.col("n") > 0).groupBy("digest").agg(F.min("row").alias("text_row"), F.min(F.struct("id", "row")).alias("head"), F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "stands")
+    texts = written(table.join(stands.select(F.col("text_row").alias("row")), "row", "left_semi").select("row", "n", "sketches", "prefix", "bits"), "texts")
+    roots = classes(read, texts)
+    # only texts that are linked have a class other than their own
+    linked = stands.join(roots.withColumnRenamed("node", "text_row"), "text_row")
+    heads = linked.groupBy("root").agg(F.min("head").alias("head"), F.min("class_id").alias("class_id"))
+    linked = linked.select("digest", "root").join(heads, "root").select("digest", "head", "class_id")
+    alone = stands.where("copies > 1").join(linked, "digest", "left_anti").select("digest", "head", "class_id")
+    named = written(linked.union(alone), "classes")  # of a known size, so that Spark may broadcast it or split what is skewed
+    out = table.select("row", "id", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
+    first = F.coalesce(F.col("head.row") == F.col("row"), F.lit(True))
+    return out.select("row", "id", F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), first.alias("first"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Documents without those that another of their class stands for, with all their columns."""
+    docs = stable(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     others = near_duplicates(docs).where(~F.col("first")).select("row")
     return rows.join(others, "row", "left_anti").select("doc.*")
@@ -348,4 +326,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op2_order_minhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links", F.col("first").alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", F.col("first").alias("kept"))
