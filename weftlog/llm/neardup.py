@@ -228,27 +228,52 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, similarity double")
 
 
-def prefix_pairs(texts: DataFrame, units: DataFrame) -> DataFrame:
-    """All pairs (x, y) of texts that may be linked and are not of one unit, with their units and a bound on what they have in common.
+def _enough(n_x: str, at_x: str, n_y: str, at_y: str):
+    """Whether texts that first share the shingles at these places of their prefixes may be linked."""
+    left = F.least(F.col(n_x) - F.col(at_x), F.col(n_y) - F.col(at_y))
+    return (left * (1 + SIMILARITY) >= SIMILARITY * (F.col(n_x) + F.col(n_y)) - 1e-6) & (F.least(n_x, n_y) >= SIMILARITY * F.greatest(n_x, n_y) - 1e-6)
 
-    ``texts`` is (row, n, prefix, bits), ``units`` (row, unit); a text outside of units is one of its own (``-1 - row``).  Linked
-    texts share a shingle of both prefixes, and of the first one that they share on both have enough shingles left.  Of
-    the shorter of both (by n, then row) the prefix for texts of its own length does, as all others must share more with it.
-    So texts with a ninth of rare shingles never meet by the frequent ones that they share.
+
+def prefix_entries(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """Prefix shingles of texts as (key, row, n, at, unit, short, blocks), of keys that texts of several units share.
+
+    ``texts`` is (row, n, prefix), ``units`` (row, unit); a text outside of units is one of its own (``-1 - row``).  ``short`` are
+    the shingles of the prefix that suffices for texts of at least the own length, as such must share more with it.
     """
     unit = F.coalesce("unit", -1 - F.col("row"))
     entries = texts.join(units, "row", "left").select("row", "n", unit.alias("unit"), F.posexplode("prefix").alias("at", "key"))
-    entries = entries.withColumn("short", F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9))
+    return shared_keys(entries.withColumn("short", F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9)))
+
+
+def shared_keys(entries: DataFrame) -> DataFrame:
     keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("short").alias("any"), F.min("unit").alias("low"), F.max("unit").alias("high"))
     keys = keys.where("any and size > 1 and low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    entries = written(entries.join(keys, "key"), "entries")
+    return written(entries.join(keys, "key"), "entries")
+
+
+def star_pairs(entries: DataFrame) -> DataFrame:
+    """(x, y, g, h): each text with one text of the unit that most entries of its key belong to, so no more pairs than entries."""
+    one = entries.groupBy("key", "unit").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct((-F.col("at")).alias("minus"), "row", "n")).alias("one"))
+    centre = one.groupBy("key").agg(F.max(F.struct("members", "unit", "one")).alias("best"))
+    centre = centre.select("key", F.col("best.unit").alias("h"), F.col("best.one.row").alias("y"), F.col("best.one.n").alias("n_y"), (-F.col("best.one.minus")).alias("at_y"))
+    met = entries.join(centre, "key").where(F.col("unit") != F.col("h")).where(_enough("n", "at", "n_y", "at_y"))
+    return met.select(F.col("row").alias("x"), "y", F.col("unit").alias("g"), "h").distinct()
+
 
+def prefix_pairs(entries: DataFrame) -> DataFrame:
+    """(x, y, g, h): all pairs of texts that may be linked and are not of one unit, x being the longer (by n, then row).
+
+    Linked texts share a shingle of x's prefix and y's ``short`` one, and of the first one that they share on both have enough
+    shingles left.  So texts with a ninth of rare shingles never meet by the frequent ones that they share.
+    """
     left = entries.select("key", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.col("row").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("unit").alias("g"))
     right = entries.where("short").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("row").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"), F.col("unit").alias("h"))
-    enough = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) * (1 + SIMILARITY) >= SIMILARITY * (F.col("n_x") + F.col("n_y")) - 1e-6
     longer = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") > F.col("y")))
-    met = left.join(right, ["key", "block"]).where(longer & (F.col("g") != F.col("h")) & (F.col("n_y") >= SIMILARITY * F.col("n_x") - 1e-6) & enough)
-    pairs = met.select("x", "y", "g", "h").distinct()
+    return left.join(right, ["key", "block"]).where(longer & (F.col("g") != F.col("h")) & _enough("n_x", "at_x", "n_y", "at_y")).select("x", "y", "g", "h").distinct()
+
+
+def promising(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, g, h, bound) whose bitmaps leave it open that they are linked; ``bound`` is the most that their similarity may be."""
 
     def bound(batches):
         for batch in batches:
@@ -268,17 +293,27 @@ def prefix_pairs(texts: DataFrame, units: DataFrame) -> DataFrame:
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), "bound")
 
 
+def best_of_units(pairs: DataFrame) -> DataFrame:
+    return written(pairs.groupBy("g", "h").agg(F.max(F.struct("bound", "a", "b")).alias("best")).select("best.a", "best.b"), "best")
+
+
 def classes(read: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of the texts that are linked: the components of all pairs of similarity SIMILARITY.
 
-    Sketches come first; what they join is a unit.  Then pairs of equal prefix shingles are compared: of two units the most promising
-    pair, and, where that does not join them, all others.
+    Sketches come first; what they join is a unit.  Then each text is compared with one of the largest unit among those that share a
+    prefix shingle with it, which joins most of what is left of large groups.  Last, all pairs of prefixes are compared:
+    of two units the most promising pair, and, where that does not join them, all others.
     """
     text = read.select("row", "text")
+    named = lambda roots: roots.select(F.col("node").alias("row"), F.col("root").alias("unit"))
     links = written(verified(text, candidate_pairs(texts)).select("a", "b"), "links")
-    units = written(components(links), "units")
-    pairs = written(prefix_pairs(texts, units.select(F.col("node").alias("row"), F.col("root").alias("unit"))), "prefix-pairs")
-    best = written(pairs.groupBy("g", "h").agg(F.max(F.struct("bound", "a", "b")).alias("best")).select("best.a", "best.b"), "best")
+    entries = prefix_entries(texts, named(written(components(links), "units")))
+    stars = best_of_units(promising(star_pairs(entries), texts))
+    links = written(links.union(verified(text, stars).select("a", "b")), "links")
+    units = named(written(components(links), "units"))
+    entries = shared_keys(entries.drop("unit", "blocks").join(units, "row", "left").withColumn("unit", F.coalesce("unit", -1 - F.col("row"))))
+    pairs = written(promising(prefix_pairs(entries), texts).join(stars, ["a", "b"], "left_anti"), "prefix-pairs")
+    best = best_of_units(pairs)
     links = written(links.union(verified(text, best).select("a", "b")), "links")
     roots = written(components(links), "roots")
     rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
