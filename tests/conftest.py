@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent.parent))
 def spark():
     out = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "3g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.driver.memory", "3g").config("spark.ui.showConsoleProgress", "false").config("spark.sql.ui.retainedExecutions", "5").config("spark.sql.maxPlanStringLength", "10000").getOrCreate()
     )
     out.sparkContext.setLogLevel("ERROR")
     yield out

@@ -17,6 +17,7 @@ from weftlog.functions.encoding import SCALED, FeatureSpec, entity_features, eve
 from weftlog.functions.tokens import dns_token, template_path
 from weftlog.operators import alerts, graphs, links, memory, models, sentences, stats, windows
 from weftlog.schema import API, DNS, RPC, SCORES, conform
+from weftlog.scratch import written
 from weftlog.sources.runs import load
 
 _REGISTRY: dict[str, type[Detector]] = {}
@@ -69,10 +70,10 @@ class Detector(abc.ABC):
         """Fit everything on the train runs, norms and thresholds on the val runs; they hold benign runs only."""
         objective(get(config, "model.objective"))
         part = lambda df, name: df.where(F.col("run_id").isin(splits[name]))
-        out = cls(config, stats.label_vocabulary(part(entities, "train")).cache(), splits)
+        out = cls(config, written(stats.label_vocabulary(part(entities, "train")), "vocabulary"), splits)
         out._fit(part(events, "train"), part(entities, "train"))
-        out.tables["benign"] = out._raw(part(events, "val"), part(entities, "val")).select("node_type", "score_raw").cache()
-        out.tables["thresholds"] = alerts.quantile_thresholds(out.tables["benign"], float(get(config, "scoring.threshold_q"))).cache()
+        out.tables["benign"] = written(out._raw(part(events, "val"), part(entities, "val")).select("node_type", "score_raw"), "benign")
+        out.tables["thresholds"] = written(alerts.quantile_thresholds(out.tables["benign"], float(get(config, "scoring.threshold_q"))), "thresholds")
         return out
 
     @abc.abstractmethod
@@ -142,28 +143,28 @@ class WindowDetector(Detector):
         return sentences.sentences(placed, int(get(config, "sentences.max_repeats_per_signature")), int(get(config, "sentences.max_tokens")), strip)
 
     def _nodes(self, events: DataFrame, entities: DataFrame, config: dict, strip: bool | None, only: DataFrame | None = None) -> DataFrame:
-        placed = self._placed(events)
+        placed = written(self._placed(events), "placed")
         if only is not None:
             ends = placed.select("run_id", "w_idx", F.explode(F.array("src_id", "dst_id")).alias("entity_id"))
             placed = placed.join(ends.join(only, ["run_id", "entity_id"], "left_semi").select("run_id", "w_idx").distinct(), ["run_id", "w_idx"], "left_semi")
         size, workloads = int(get(config, "w2v.dim")), bool(get(config, "graph.include_workload_nodes"))
-        x = models.encoded(self._sentences(placed, config, strip), self.tables["vectors"], size)
+        x = models.encoded(written(self._sentences(placed, config, strip), "sentences"), self.tables["vectors"], size)
         nodes = graphs.incident_nodes(placed, entities, workloads).join(x, ["run_id", "w_idx", "entity_id"], "left").withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), size)))
-        edges = graphs.window_edges(placed, entities, bool(get(config, "graph.reverse_edges")), workloads)
+        nodes = written(nodes, "nodes")
+        edges = written(graphs.window_edges(placed, entities, bool(get(config, "graph.reverse_edges")), workloads), "edges")
         full = graphs.propagated(edges, nodes, ["run_id", "w_idx"], int(get(config, "model.hops")), width=size)
-        return stats.with_label_index(full, self.vocabulary)
+        return written(stats.with_label_index(full, self.vocabulary), "features")
 
     def _fit(self, events: DataFrame, entities: DataFrame) -> None:
         c, seed = self.config, int(get(self.config, "seed"))
-        said = self._sentences(self._placed(events), c, None)
-        self.tables["vectors"] = models.token_vectors(said, int(get(c, "w2v.dim")), int(get(c, "w2v.window")), int(get(c, "w2v.epochs")), int(get(c, "w2v.min_count")), seed).cache()
-        nodes = self._nodes(events, entities, c, None).cache()
+        said = written(self._sentences(written(self._placed(events), "placed"), c, None), "sentences")
+        self.tables["vectors"] = written(models.token_vectors(said, int(get(c, "w2v.dim")), int(get(c, "w2v.window")), int(get(c, "w2v.epochs")), int(get(c, "w2v.min_count")), seed), "vectors")
+        nodes = self._nodes(events, entities, c, None)
         trees, depth = int(get(c, "train.trees")), int(get(c, "train.max_depth"))
         self.models = {
             "gnn": models.role_regression(nodes, list(self.ALL), int(get(c, "train.max_iter")), float(get(c, "train.reg"))),
             "xgb": models.role_forest(nodes, list(self.ALL), trees, depth, seed), "w2v": models.role_forest(nodes, ["x"], trees, depth, seed),
         }
-        nodes.unpersist()
 
     def _raw(self, events, entities, config=None, strip_verdict=None, only=None):
         config = config or self.config
@@ -187,29 +188,31 @@ class MemoryDetector(Detector):
     def _graph(self, events: DataFrame, entities: DataFrame, config: dict, strip: bool) -> DataFrame:
         """Newest copies with one vector for each relation."""
         spec, width = window_spec(config), self.spec.event_width
-        placed = windows.assign_windows(events, spec)
-        nodes = memory.event_nodes(memory.cap_events(placed, int(get(config, "graph.max_events_per_window"))), spec.width)
+        placed = written(windows.assign_windows(events, spec), "placed")
+        nodes = written(memory.event_nodes(memory.cap_events(placed, int(get(config, "graph.max_events_per_window"))), spec.width), "event-nodes")
         x = nodes.select("run_id", "pos", "event_id", event_features(self.spec, F.col("order"), F.col("rel_time"), strip).alias("x"))
-        incident = memory.incidence(nodes, entities, bool(get(config, "graph.include_workload_nodes")))
-        copies = memory.entity_copies(incident)
+        x = written(x, "event-features")
+        incident = written(memory.incidence(nodes, entities, bool(get(config, "graph.include_workload_nodes"))), "incident")
+        copies = written(memory.entity_copies(incident), "copies")
         none = F.array_repeat(F.lit(0.0), width)
         spatial = memory.spatial_edges(incident).where(F.col("edge_type").isin("rev_src_of", "rev_dst_of")).join(x, ["run_id", "pos", "event_id"])
-        means = spatial.groupBy("run_id", "pos", "entity_id").pivot("edge_type", ["rev_src_of", "rev_dst_of"]).agg(graphs.mean_vector("x"))
+        spatial = written(spatial, "spatial")
+        mean_of = lambda kind: spatial.where(F.col("edge_type") == kind).groupBy("run_id", "pos", "entity_id").agg(graphs.mean_vector("x").alias(kind))
         # what came before an event reaches its ends in two steps
         before = memory.follow_edges(nodes, int(get(config, "graph.flow_memory"))).join(x.withColumnRenamed("event_id", "src"), ["run_id", "pos", "src"])
         two = before.groupBy("run_id", "pos", F.col("dst").alias("event_id")).agg(graphs.mean_vector("x").alias("x"))
         reached = memory.spatial_edges(incident).where(F.col("edge_type").startswith("rev_")).join(two, ["run_id", "pos", "event_id"])
         follows = reached.groupBy("run_id", "pos", "entity_id").agg(graphs.mean_vector("x").alias("follows"))
         keys = ["run_id", "pos", "entity_id"]
-        full = copies.join(means, keys, "left").join(follows, keys, "left")
+        full = copies.join(mean_of("rev_src_of"), keys, "left").join(mean_of("rev_dst_of"), keys, "left").join(follows, keys, "left")
         full = full.withColumns({c: F.coalesce(c, none) for c in ("rev_src_of", "rev_dst_of", "follows")})
-        full = full.withColumn("own", entity_features(self.spec, F.lit(0)))
+        full = written(full.withColumn("own", entity_features(self.spec, F.lit(0))), "copies-features")
         both = F.concat("rev_src_of", "rev_dst_of").alias("both")
         past = memory.recurrence_edges(copies, int(get(config, "windows.memory"))).join(full.select(*keys, both), keys)
         recurs = past.groupBy("run_id", F.col("later").alias("pos"), "entity_id").agg(graphs.mean_vector("both").alias("recurs"))
         full = full.join(recurs, keys, "left").withColumn("recurs", F.coalesce("recurs", F.array_repeat(F.lit(0.0), 2 * width)))
         meta = entities.select("run_id", "entity_id", "entity_type", "canonical_service", "namespace")
-        return stats.with_label_index(full.join(windows.window_table(placed).select("run_id", "pos", "w_idx"), ["run_id", "pos"]).join(meta, ["run_id", "entity_id"]), self.vocabulary)
+        return written(stats.with_label_index(full.join(windows.window_table(placed).select("run_id", "pos", "w_idx"), ["run_id", "pos"]).join(meta, ["run_id", "entity_id"]), self.vocabulary), "features")
 
     def _fit_spec(self, events: DataFrame) -> FeatureSpec:
         c, sizes = self.config, {k: int(get(self.config, f"features.{k}")) for k in ("path_vocab", "dns_vocab", "api_resource_vocab", "time_enc_dim")}
@@ -227,9 +230,8 @@ class MemoryDetector(Detector):
     def _fit(self, events: DataFrame, entities: DataFrame) -> None:
         c = self.config
         self.spec = self._fit_spec(events)
-        nodes = self._graph(events, entities, c, False).cache()
+        nodes = self._graph(events, entities, c, False)
         self.models = {"roles": models.role_regression(nodes, list(self.COLUMNS), int(get(c, "train.max_iter")), float(get(c, "train.reg"))), "links": self._fit_links(events, nodes)}
-        nodes.unpersist()
 
     def _fit_links(self, events: DataFrame, nodes: DataFrame):
         """Which entities call which, learned from links and sampled non-links; its figure of merit tells what the vectors hold."""
@@ -237,9 +239,9 @@ class MemoryDetector(Detector):
         edges = events.where(F.col("src_id") != F.col("dst_id")).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).distinct().withColumns({"a": number("src"), "b": number("dst")})
         x = nodes.groupBy("entity_id").agg(graphs.mean_vector("rev_src_of").alias("x"))
         ends = lambda df: df.join(x.select(F.col("entity_id").alias("src"), F.col("x").alias("x_src")), "src").join(x.select(F.col("entity_id").alias("dst"), F.col("x").alias("x_dst")), "dst")
-        capped = links.most_of(edges.withColumn("kind", F.lit(0)), "kind", int(get(self.config, "train.max_pos_per_type")))
+        capped = edges.orderBy(F.xxhash64("a", "b"), "src", "dst").limit(int(get(self.config, "train.max_pos_per_type")))
         known = capped.where(~links.held_out(F.col("a"), F.col("b"), int(get(self.config, "train.holdout_tenths"))))
-        positive, negative = ends(known).cache(), ends(links.negatives(edges)).cache()
+        positive, negative = written(ends(known), "links"), written(ends(links.negatives(edges)), "non-links")
         if positive.isEmpty() or negative.isEmpty():
             return None
         return models.link_model(positive, negative)

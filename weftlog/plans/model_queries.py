@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from weftlog.operators import graphs, models, sentences, stats
 from weftlog.plans.registry import placed, query
 from weftlog.plans.testdata import entities, telemetry
+from weftlog.scratch import written
 
 
 def _encoded(spark, sf_dir):
-    said = sentences.sentences(placed(spark, sf_dir)).cache()
+    said = written(sentences.sentences(placed(spark, sf_dir)), "sentences")
     vectors = models.token_vectors(said, size=16, epochs=1)
     return models.encoded(said, vectors, 16)
 
@@ -28,6 +29,6 @@ def role_scores(spark, sf_dir):
     nodes = graphs.incident_nodes(place, ents).join(_encoded(spark, sf_dir), ["run_id", "w_idx", "entity_id"])
     full = graphs.propagated(graphs.window_edges(place, ents), nodes, ["run_id", "w_idx"], width=16)
     vocabulary = stats.label_vocabulary(ents)
-    labelled = stats.with_label_index(full, vocabulary).cache()
+    labelled = written(stats.with_label_index(full, vocabulary), "features")
     model = models.role_regression(labelled, ["x", "x1", "x2"], iterations=10)
     return models.node_scores(models.probabilities(labelled, model, ["x", "x1", "x2"]), vocabulary).withColumn("score_raw", F.round("score_raw", 4)).drop("p_true")

@@ -13,6 +13,7 @@ from weftlog.operators import alerts, splits, stats, windows
 from weftlog.operators.perturb import PERTURBATIONS
 from weftlog.plans.detectors import Detector, get_detector, load_detector, run_tables, window_spec
 from weftlog.schema import POD
+from weftlog.scratch import written
 from weftlog.sources import runs
 
 
@@ -80,9 +81,10 @@ def perturbations(detector: Detector, config: dict, events: DataFrame, entities:
     threshold, out = row.threshold if row else 1.0, {}
     for name, mutate in PERTURBATIONS.items():
         changed, victims = mutate(events, entities, int(get(config, "seed")))
-        who = victims.select("run_id", F.col("victim").alias("entity_id")).cache()
+        who = victims.select("run_id", F.col("victim").alias("entity_id"))
+        changed, who = written(changed, "mutated"), written(who, "victims")
         own = lambda df, who=who: detector.score(df.join(who.select("run_id").distinct(), "run_id", "left_semi"), entities, config, only=who).join(who, ["run_id", "entity_id"], "left_semi").select("run_id", "score_norm")
-        after = own(changed).cache()
+        after = written(own(changed), "after")
         both = after.select("score_norm", F.lit(True).alias("p")).unionByName(own(events).select("score_norm", F.lit(False).alias("p")))
         area = stats.auc(both, "score_norm", F.col("p")).first()
         found = alerts.detection_rate(who.select("run_id").join(after, "run_id", "left"), threshold).first()
@@ -95,7 +97,7 @@ def evaluate(spark: SparkSession, config: dict) -> dict:
     own = view(config)
     detector = load_detector(spark, own)
     ids = _test_runs(spark, own, detector)
-    events, entities = (t.cache() for t in run_tables(spark, own, ids))
+    events, entities = run_tables(spark, own, ids)
     report: dict = {"test_runs": ids, "benign_fp": alerts.benign_fp(_alerted(detector, own, events, entities)).first().asDict()}
     report["weak_signal"] = weak_signal(detector, own, events, entities)
     report["perturbations"] = perturbations(detector, own, events, entities)
