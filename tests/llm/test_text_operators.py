@@ -46,8 +46,7 @@ def test_rules_are_ordered_by_rejections_per_second():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_whole_texts(name):
     own, plain = encode.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
-    texts = [t or "" for _, t in corpus_rows()] + ["a  b", " lead", "trail ", "x \n y", "  a", "a 　 b", "it's  we'll", "<|endoftext|> <|endoftext|>", "É́ é x", "tab\tq", "e ́x"]
+    texts = [t or "" for _, t in corpus_rows()] + ["a  b", " lead", "trail ", "x \n y", "  a", "a 　 b", "it's  we'll", "<|endoftext|> <|endoftext|>", "a <|endoftext|> b", "foo  <|endoftext|>  y</s> <s>q [UNK] <unk>", "É́ é x", "tab\tq", "e ́x"]
     for _ in range(2):  # once learning and once from memory
         for piece in slices(pa.array(texts), 5000):
             ids, first = own.encode(piece)
@@ -58,7 +57,6 @@ def test_encoder_equals_whole_texts(name):
 def test_packing(corpus, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rows = packing.pack_along_curve(corpus, path, sequence=64).collect()
     lengths, tokens_of = defaultdict(list), defaultdict(int)
     for r in rows:
@@ -102,7 +100,6 @@ def test_addressable_codes(spark, corpus, empty):
     manifest.write.parquet(kept := fresh(spark, "manifest"))
     got = tokens.read_codes(spark, folder, spark.read.parquet(kept)).orderBy("start").collect()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rows = sorted(corpus_rows(), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r.doc_id for r in got] == [d for d, _ in rows]
     ids = defaultdict(list)

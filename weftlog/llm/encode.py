@@ -8,6 +8,7 @@ concatenation equals the encoding of the whole text.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -50,7 +51,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings inside a text are ordinary text
+        # a text with a control string is encoded whole: the tokenizer takes the string out before it cuts the rest into pieces
+        control = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.control = re.compile(b"|".join(re.escape(x) for x in sorted(control, key=len, reverse=True))) if control else None
         drops_blanks = not self._ids(["a  \n b"])[0] != self._ids(["a b"])[0]
         self.pieces = word_pieces if drops_blanks else blank_led_pieces
         self._forget()
@@ -74,9 +77,21 @@ class Encoder:
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.length = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.length, where, length)
 
+    def _whole(self, piece: Slice, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces, but those of a text that holds a control string are the text itself."""
+        at = np.array([m.start() for m in self.control.finditer(raw)], np.int64)
+        texts = np.unique(np.searchsorted(piece.offsets, at, "right") - 1)
+        inside = np.isin(np.searchsorted(piece.offsets, starts, "right") - 1, texts)
+        starts, ends = np.concatenate((starts[~inside], piece.offsets[texts])), np.concatenate((ends[~inside], piece.offsets[texts + 1]))
+        order = np.argsort(starts, kind="stable")
+        return starts[order], ends[order]
+
     def encode(self, piece: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the slice one after another (uint32), and the first id of each text."""
         starts, ends = self.pieces(piece)
+        raw = piece.data.tobytes()
+        if self.control is not None and self.control.search(raw):
+            starts, ends = self._whole(piece, raw, starts, ends)
         keys, first, which = np.unique(hash_spans(piece.data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > REMEMBERED:
             self._forget()
@@ -85,7 +100,6 @@ class Encoder:
         inside = where < len(self.keys)
         known[inside] = self.keys[where[inside]] == keys[inside]
         if not known.all():
-            raw = piece.data.tobytes()
             self._learn(keys[~known], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[~known]])
             where = np.searchsorted(self.keys, keys)
         at, length = self.at[where][which], self.length[where][which]
