@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions.tokens import event_tokens
-from weftlog.schema import BEHAVIOUR
+from weftlog.schema import API, BEHAVIOUR, DNS, L4, RPC
 
 
-def views(placed: DataFrame) -> DataFrame:
-    """Each event as its endpoints see it: entity_id, direction, seq, and behaviour columns, but no other name.
+def views(placed: DataFrame, columns: list[str] | tuple[str, ...] = BEHAVIOUR) -> DataFrame:
+    """Each event as its endpoints see it: entity_id, direction, seq, and the given columns, by default the behaviour, but no other name.
 
     The source sees it go out; the destination sees it come in, and so does the service in front of it.
     """
@@ -18,13 +18,20 @@ def views(placed: DataFrame) -> DataFrame:
     side = lambda who, direction, seq: F.struct(who.alias("entity_id"), F.lit(direction).alias("direction"), F.lit(seq).alias("seq"))
     service = F.when((c("dst_svc_id") != "") & ~c("dst_svc_id").eqNullSafe(c("dst_id")), c("dst_svc_id"))
     sides = F.filter(F.array(side(c("src_id"), "out", 0), side(c("dst_id"), "in", 1), side(service, "in", 2)), lambda s: s["entity_id"].isNotNull())
-    return placed.withColumn("side", F.explode(sides)).select("run_id", "w_idx", "pos", "ts_us", "ord", "side.*", *BEHAVIOUR)
+    return placed.withColumn("side", F.explode(sides)).select("run_id", "w_idx", "pos", "ts_us", "ord", "side.*", *columns)
+
+
+def tokenised(events: DataFrame, strip_verdict: bool = False) -> DataFrame:
+    """Events with their tokens as both ends see them; done before events are dealt to windows, it is done once for each event."""
+    return events.withColumns({"tokens_out": event_tokens(F.lit("out"), strip_verdict), "tokens_in": event_tokens(F.lit("in"), strip_verdict)})
 
 
 def token_views(placed: DataFrame, strip_verdict: bool = False) -> DataFrame:
-    """(run_id, w_idx, pos, ts_us, ord, seq, entity_id, direction, tokens) of every view that has tokens."""
-    out = views(placed).withColumn("tokens", event_tokens(F.col("direction"), strip_verdict))
-    return out.where(F.size("tokens") > 0).select("run_id", "w_idx", "pos", "ts_us", "ord", "seq", "entity_id", "direction", "tokens")
+    """(run_id, w_idx, pos, ts_us, ord, seq, entity_id, direction, tokens) of every view that has tokens; ``placed`` may be tokenised."""
+    full = placed if "tokens_out" in placed.columns else tokenised(placed, strip_verdict)
+    out = views(full.where(F.col("event_type").isin(RPC, L4, DNS, API)), ["event_type", "tokens_out", "tokens_in"])
+    tokens = F.when(F.col("direction") == "out", F.col("tokens_out")).otherwise(F.col("tokens_in"))
+    return out.select("run_id", "w_idx", "pos", "ts_us", "ord", "seq", "entity_id", "direction", tokens.alias("tokens"))
 
 
 def capped_views(tokens: DataFrame, most_repeats: int) -> DataFrame:

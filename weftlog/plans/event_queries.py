@@ -21,20 +21,21 @@ def l4_keep_rules(spark, sf_dir):
 
 
 @query(
-    """WITH v AS (SELECT l_orderkey AS rid, 'inbound' AS direction, l_linenumber AS ord, 'l' || l_suppkey AS reporter FROM lineitem WHERE l_orderkey % 3 <> 0
-      UNION ALL SELECT o_orderkey, 'outbound', 0, 'o' || o_custkey FROM orders WHERE o_orderkey % 2 = 0),
+    """WITH v AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'i' ELSE '' END || l_orderkey AS rid, 'inbound' AS direction, l_linenumber AS ord, 'l' || l_suppkey AS reporter FROM lineitem
+      UNION ALL SELECT CASE WHEN o_orderkey % 2 = 1 THEN 'o' ELSE '' END || o_orderkey, 'outbound', 0, 'o' || o_custkey FROM orders),
     f AS (SELECT *, row_number() OVER (PARTITION BY rid, direction ORDER BY ord, reporter) AS nth FROM v),
     o AS (SELECT * FROM f WHERE direction = 'outbound' AND nth = 1), i AS (SELECT * FROM f WHERE direction = 'inbound' AND nth = 1)
     SELECT coalesce(i.rid, o.rid) AS request_id, o.reporter AS client, i.reporter AS server, (CASE WHEN i.rid IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN o.rid IS NOT NULL THEN 1 ELSE 0 END)::INTEGER AS reporter_views FROM o FULL OUTER JOIN i ON i.rid = o.rid
     UNION ALL SELECT rid, CASE WHEN direction = 'outbound' THEN reporter END, CASE WHEN direction = 'inbound' THEN reporter END, 1 FROM f WHERE nth > 1"""
 )
 def view_merge_full_outer(spark, sf_dir):
-    """Two views of one request become one."""
-    inbound = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").select(F.lit("r").alias("run_id"), F.col("l_orderkey").cast("string").alias("request_id"), F.lit("inbound").alias("direction"), F.struct(F.col("l_linenumber").cast("long"), F.concat(F.lit("l"), "l_suppkey")).alias("seen"), F.concat(F.lit("l"), "l_suppkey").alias("reporter"))
-    outbound = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.lit("r").alias("run_id"), F.col("o_orderkey").cast("string").alias("request_id"), F.lit("outbound").alias("direction"), F.struct(F.lit(0).cast("long"), F.concat(F.lit("o"), "o_custkey")).alias("seen"), F.concat(F.lit("o"), "o_custkey").alias("reporter"))
+    """Two views of one request become one (J01, J02, W05, U07); some requests are seen by one side only."""
+    own = lambda key, alone, mark: F.concat(F.when(F.expr(alone), mark).otherwise(""), F.col(key).cast("string")).alias("request_id")
+    inbound = table(spark, sf_dir, "lineitem").select(F.lit("r").alias("run_id"), own("l_orderkey", "l_orderkey % 3 = 0", "i"), F.lit("inbound").alias("direction"), F.struct(F.col("l_linenumber").cast("long"), F.concat(F.lit("l"), "l_suppkey")).alias("seen"), F.concat(F.lit("l"), "l_suppkey").alias("reporter"))
+    outbound = table(spark, sf_dir, "orders").select(F.lit("r").alias("run_id"), own("o_orderkey", "o_orderkey % 2 = 1", "o"), F.lit("outbound").alias("direction"), F.struct(F.lit(0).cast("long"), F.concat(F.lit("o"), "o_custkey")).alias("seen"), F.concat(F.lit("o"), "o_custkey").alias("reporter"))
     merged = access.merged_views(inbound.union(outbound), ["reporter"], order="seen")
     client, server = F.col("outbound.reporter"), F.col("inbound.reporter")
-    return merged.select(F.col("request_id").cast("long").alias("request_id"), client.alias("client"), server.alias("server"), "reporter_views")
+    return merged.select("request_id", client.alias("client"), server.alias("server"), "reporter_views")
 
 
 @query(

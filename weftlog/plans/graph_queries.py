@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from weftlog.operators import graphs, memory, windows
 from weftlog.plans.registry import placed, query, table
 from weftlog.plans.testdata import TEL, WIN, entities, telemetry
+from weftlog.scratch import written
 
-MEMORY, CAP, FLOW_MEMORY = 3, 10, 2
+MEMORY, CAP, FLOW_MEMORY = 5, 1000, 20
+#: The cap that the query on capping shows.
+SHOWN_CAP = 10
 
 NODES = WIN + """, inc AS (
   SELECT run_id, w_idx, pos, src_id AS entity_id FROM win UNION SELECT run_id, w_idx, pos, dst_id FROM win UNION SELECT run_id, w_idx, pos, dst_svc_id FROM win WHERE dst_svc_id IS NOT NULL),
@@ -39,44 +42,52 @@ def reverse_edges(spark, sf_dir):
 
 @query(
     NODES
-    + """, feats AS (SELECT run_id, w_idx, entity_id, embedding FROM nodes JOIN embeddings ON vec_id = TRY_CAST(regexp_extract(entity_id, '/u([0-9]+)$', 1) AS BIGINT) % 500 WHERE entity_type = 'Pod'),
-    m AS (SELECT run_id, w_idx, dst AS entity_id, unnest(embedding[1:4]) AS v, unnest(range(4)) AS i FROM both_ways JOIN feats USING (run_id, w_idx) WHERE src = entity_id)
-    SELECT run_id, w_idx, entity_id, i, round(avg(v::DOUBLE), 5) + 0.0 AS v FROM m GROUP BY ALL"""
+    + """, feats AS (SELECT run_id, w_idx, entity_id, embedding FROM nodes JOIN embeddings ON vec_id = TRY_CAST(regexp_extract(entity_id, '/u([0-9]+)$', 1) AS BIGINT) % (SELECT count(*) FROM embeddings) WHERE entity_type = 'Pod'),
+    m AS (SELECT run_id, w_idx, dst AS entity_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM both_ways JOIN feats USING (run_id, w_idx) WHERE src = entity_id),
+    a AS (SELECT run_id, w_idx, entity_id, i, avg(v::DOUBLE) AS v FROM m GROUP BY ALL)
+    SELECT run_id, w_idx, entity_id, count(*) AS size, round(sum(v), 5) + 0.0 AS total, round(sum(v * (i + 1)), 4) + 0.0 AS weighted FROM a GROUP BY ALL"""
 )
 def neighbor_mean(spark, sf_dir):
-    """Mean vectors of neighbours."""
-    place, ents = placed(spark, sf_dir), entities(telemetry(spark, sf_dir))
-    pods = graphs.incident_nodes(place, ents).where("entity_type = 'Pod'").withColumn("vec_id", F.regexp_extract("entity_id", r"/u([0-9]+)$", 1).try_cast("long") % 500)
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("x"))
+    """Mean vectors of neighbours, as sums over their dimensions."""
+    place, ents = written(placed(spark, sf_dir), "placed"), entities(telemetry(spark, sf_dir))
+    n = table(spark, sf_dir, "embeddings").count()
+    pods = graphs.incident_nodes(place, ents).where("entity_type = 'Pod'").withColumn("vec_id", F.regexp_extract("entity_id", r"/u([0-9]+)$", 1).try_cast("long") % n)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     mean = graphs.neighbour_mean(graphs.window_edges(place, ents), pods.join(vectors, "vec_id"), ["run_id", "w_idx"])
-    return mean.select("run_id", "w_idx", "entity_id", F.posexplode("x").alias("i", "v")).select("run_id", "w_idx", "entity_id", F.col("i").cast("long").alias("i"), (F.round("v", 5) + F.lit(0.0)).alias("v"))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda t, v: t + v)
+    weighted = F.transform("x", lambda v, i: v * (i + 1))
+    return mean.select("run_id", "w_idx", "entity_id", F.size("x").cast("long").alias("size"), (F.round(add("x"), 5) + F.lit(0.0)).alias("total"), (F.round(add(weighted), 4) + F.lit(0.0)).alias("weighted"))
 
 
-CAPPED = WIN + f""", marked AS (SELECT *, coalesce(event_type = 'L4_FLOW' AND verdict IS NOT NULL AND verdict <> 'FORWARDED', false) AS must FROM win),
+def _capped(cap: int) -> str:
+    return WIN + f""", marked AS (SELECT *, coalesce(event_type = 'L4_FLOW' AND verdict IS NOT NULL AND verdict <> 'FORWARDED', false) AS must FROM win),
 counted AS (SELECT *, count(*) OVER (PARTITION BY run_id, pos) AS n, count(*) FILTER (WHERE must) OVER (PARTITION BY run_id, pos) AS n_must,
   row_number() OVER (PARTITION BY run_id, pos, must ORDER BY ts_us, ord) - 1 AS i FROM marked),
 picks AS (SELECT DISTINCT run_id, pos, CASE WHEN j = room - 1 AND room > 1 THEN rest - 1 ELSE CAST(floor(j * ((rest - 1)::DOUBLE / greatest(room - 1, 1))) AS BIGINT) END AS i
-  FROM (SELECT run_id, pos, rest, room, unnest(range(room)) AS j FROM (SELECT DISTINCT run_id, pos, n - n_must AS rest, greatest({CAP} - n_must, 0) AS room FROM counted WHERE n > {CAP}) WHERE rest > 0)),
-capped AS (SELECT c.* FROM counted c LEFT JOIN picks p ON c.run_id = p.run_id AND c.pos = p.pos AND c.i = p.i AND NOT c.must WHERE n <= {CAP} OR must OR p.i IS NOT NULL),
+  FROM (SELECT run_id, pos, rest, room, unnest(range(room)) AS j FROM (SELECT DISTINCT run_id, pos, n - n_must AS rest, greatest({cap} - n_must, 0) AS room FROM counted WHERE n > {cap}) WHERE rest > 0)),
+capped AS (SELECT c.* FROM counted c LEFT JOIN picks p ON c.run_id = p.run_id AND c.pos = p.pos AND c.i = p.i AND NOT c.must WHERE n <= {cap} OR must OR p.i IS NOT NULL),
 evs AS (SELECT *, row_number() OVER (PARTITION BY run_id, pos ORDER BY ts_us, event_id) - 1 AS o FROM capped)"""
+
+
+CAPPED = _capped(CAP)
 INCIDENT = CAPPED + """, incident AS (
   SELECT run_id, pos, event_id, event_type, src_id AS entity_id, 'src' AS role FROM evs UNION ALL SELECT run_id, pos, event_id, event_type, dst_id, 'dst' FROM evs
   UNION ALL SELECT run_id, pos, event_id, event_type, dst_svc_id, 'dst' FROM evs WHERE event_type = 'RPC_CALL' AND dst_svc_id IS NOT NULL AND dst_svc_id <> dst_id),
 copies AS (SELECT DISTINCT run_id, pos, entity_id FROM incident)"""
 
 
-def _nodes(spark, sf_dir):
-    return memory.event_nodes(memory.cap_events(placed(spark, sf_dir), CAP), 7_200_000_000)
+def _nodes(spark, sf_dir, cap=CAP):
+    return memory.event_nodes(memory.cap_events(placed(spark, sf_dir), cap), 7_200_000_000)
 
 
 def _incident(spark, sf_dir):
     return memory.incidence(_nodes(spark, sf_dir), entities(telemetry(spark, sf_dir)))
 
 
-@query(CAPPED + " SELECT run_id, pos, event_id, o AS \"order\", round((ts_us - t0_us) / 7200000000.0::DOUBLE, 6) AS rel_time FROM evs")
+@query(_capped(SHOWN_CAP) + " SELECT run_id, pos, event_id, o AS \"order\", round((ts_us - t0_us) / 7200000000.0::DOUBLE, 6) AS rel_time FROM evs")
 def event_cap(spark, sf_dir):
     """Capped windows with order and relative time."""
-    return _nodes(spark, sf_dir).select("run_id", "pos", "event_id", F.col("order").cast("long").alias("order"), F.round("rel_time", 6).alias("rel_time"))
+    return _nodes(spark, sf_dir, SHOWN_CAP).select("run_id", "pos", "event_id", F.col("order").cast("long").alias("order"), F.round("rel_time", 6).alias("rel_time"))
 
 
 @query(
@@ -108,7 +119,7 @@ def follows_chain_capped(spark, sf_dir):
 )
 def window_memory_recurrence(spark, sf_dir):
     """Recurrence edges in the memory of each window."""
-    incident = _incident(spark, sf_dir)
+    incident = written(_incident(spark, sf_dir), "incident")
     edges = memory.recurrence_edges(memory.entity_copies(incident), MEMORY)
     rows = memory.in_memory(edges, windows.window_table(placed(spark, sf_dir)), MEMORY).where("later <= newest")
     return rows.select("run_id", "newest", "entity_id", F.col("age").cast("long").alias("age"), (F.col("later") - F.col("pos")).alias("ahead"))

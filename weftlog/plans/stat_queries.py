@@ -55,17 +55,17 @@ def quantile_threshold(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT l_returnflag AS g, l_quantity AS v FROM lineitem WHERE l_linenumber = 1), c AS (SELECT g, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY g ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY g) AS total FROM t GROUP BY g, v),
-    q AS (SELECT l_orderkey, l_returnflag AS g, l_quantity + 0.5 * (l_orderkey % 2) AS v FROM lineitem WHERE l_linenumber = 2)
-    SELECT l_orderkey, q.g AS node_type, q.v AS score_raw,
-      round((coalesce((SELECT max(upto) FROM c WHERE c.g = q.g AND c.v < q.v), 0) + coalesce((SELECT max(upto) FROM c WHERE c.g = q.g AND c.v <= q.v), 0)) / (2.0::DOUBLE * (SELECT max(total) FROM c WHERE c.g = q.g)), 6) AS score_norm FROM q"""
+    """WITH t AS (SELECT l_returnflag AS g, l_quantity AS v FROM lineitem), c AS (SELECT g, v, sum(count(*)) OVER (PARTITION BY g ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY g) AS total FROM t GROUP BY g, v),
+    q AS (SELECT l_orderkey, l_linenumber, l_returnflag AS g, l_quantity + 0.5 * (l_orderkey % 2) AS v FROM lineitem),
+    r AS (SELECT g, v, coalesce((SELECT max(upto) FROM c WHERE c.g = d.g AND c.v < d.v), 0) + coalesce((SELECT max(upto) FROM c WHERE c.g = d.g AND c.v <= d.v), 0) AS twice, (SELECT max(total) FROM c WHERE c.g = d.g) AS total FROM (SELECT DISTINCT g, v FROM q) d)
+    SELECT l_orderkey, l_linenumber, g AS node_type, v AS score_raw, round(twice / (2.0::DOUBLE * total), 6) AS score_norm FROM q JOIN r USING (g, v)"""
 )
 def midrank_normalize(spark, sf_dir):
     """Mid-ranks of scores in a table of other scores."""
     rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "node_type")
-    benign = rows.where("l_linenumber = 1").select("node_type", F.col("l_quantity").alias("score_raw"))
-    scores = rows.where("l_linenumber = 2").select("l_orderkey", "node_type", (F.col("l_quantity") + 0.5 * (F.col("l_orderkey") % 2)).alias("score_raw"))
-    return alerts.normalised(scores, benign).select("l_orderkey", "node_type", "score_raw", F.round("score_norm", 6).alias("score_norm"))
+    benign = rows.select("node_type", F.col("l_quantity").alias("score_raw"))
+    scores = rows.select("l_orderkey", "l_linenumber", "node_type", (F.col("l_quantity") + 0.5 * (F.col("l_orderkey") % 2)).alias("score_raw"))
+    return alerts.normalised(scores, benign).select("l_orderkey", "l_linenumber", "node_type", "score_raw", F.round("score_norm", 6).alias("score_norm"))
 
 
 _SCORED = WIN + ", scored AS (SELECT run_id, w_idx, src_id AS entity_id, max(value) AS score FROM win GROUP BY ALL)"
@@ -140,11 +140,11 @@ def temporal_split(spark, sf_dir):
     return splits.temporal_split(telemetry(spark, sf_dir).select("run_id").distinct(), 0.25, 0.15)
 
 
-@query("SELECT label, i, round(avg(e::DOUBLE), 5) + 0.0 AS v FROM (SELECT label, unnest(embedding[1:8]) AS e, unnest(range(8)) AS i FROM embeddings) GROUP BY ALL")
+@query("SELECT label, i, round(avg(e::DOUBLE), 5) + 0.0 AS v FROM (SELECT label, unnest(embedding) AS e, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL")
 def mean_pooling(spark, sf_dir):
     """Mean vectors of groups (A10)."""
     from weftlog.operators.graphs import mean_vector
 
-    rows = table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 8).cast("array<double>").alias("x"))
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x"))
     out = rows.groupBy("label").agg(mean_vector("x").alias("x")).select("label", F.posexplode("x").alias("i", "v"))
     return out.select("label", F.col("i").cast("long").alias("i"), (F.round("v", 5) + F.lit(0.0)).alias("v"))

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftlog.functions import encoding, net, tokens
-from weftlog.operators import sentences
+from weftlog.operators import sentences, windows
 from weftlog.plans.registry import placed, query, table
-from weftlog.plans.testdata import WIN
+from weftlog.plans.testdata import WIN, WINDOWS, telemetry
 
 #: SQL of some scalar functions, as macros of one argument or two.
 def fill(template: str, **values: str) -> str:
@@ -145,30 +145,34 @@ capped AS (SELECT * FROM numbered WHERE nth <= 3),
 sent AS (SELECT run_id, w_idx, entity_id, flatten(list(tokens ORDER BY ts_us, f_ts, f_ord, f_seq, nth)) AS s FROM capped GROUP BY ALL)"""
 
 
+def _tokenised(spark, sf_dir, strip_verdict=False):
+    return windows.assign_windows(sentences.tokenised(telemetry(spark, sf_dir), strip_verdict), WINDOWS)
+
+
 @query(VIEWS + " SELECT run_id, w_idx, ord, entity_id, d AS direction, seq, array_to_string(tokens, ' ') AS tokens FROM views")
 def token_stream(spark, sf_dir):
     """Tokens of events as their endpoints see them."""
-    return sentences.token_views(placed(spark, sf_dir)).select("run_id", "w_idx", "ord", "entity_id", "direction", "seq", F.array_join("tokens", " ").alias("tokens"))
+    return sentences.token_views(_tokenised(spark, sf_dir)).select("run_id", "w_idx", "ord", "entity_id", "direction", "seq", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(VIEWS.replace(", 'v:' || lower(verdict)]", "]") + " SELECT run_id, w_idx, ord, entity_id, array_to_string(tokens, ' ') AS tokens FROM views WHERE starts_with(tokens[1], 'flow:')")
 def token_stream_stripped(spark, sf_dir):
     """Flow tokens without verdicts."""
-    rows = sentences.token_views(placed(spark, sf_dir), strip_verdict=True).where(F.get("tokens", 0).startswith("flow:"))
+    rows = sentences.token_views(_tokenised(spark, sf_dir, True)).where(F.get("tokens", 0).startswith("flow:"))
     return rows.select("run_id", "w_idx", "ord", "entity_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(CAPPED + " SELECT run_id, w_idx, entity_id, array_to_string(s, ' ') AS sentence FROM sent")
 def sentence_capped(spark, sf_dir):
     """Sentences with at most three repeats of a token tuple."""
-    out = sentences.sentences(placed(spark, sf_dir), 3, 1_000_000)
+    out = sentences.sentences(_tokenised(spark, sf_dir), 3, 1_000_000)
     return out.select("run_id", "w_idx", "entity_id", F.array_join("sentence", " ").alias("sentence"))
 
 
 @query(CAPPED + " SELECT run_id, w_idx, entity_id, len(s) AS n, array_to_string(CASE WHEN len(s) > 12 THEN [s[CAST(floor(i * (len(s) / 12.0::DOUBLE)) AS BIGINT) + 1] FOR i IN range(12)] ELSE s END, ' ') AS sentence FROM sent")
 def sentence_tokens_sampled(spark, sf_dir):
     """Long sentences sampled evenly."""
-    out = sentences.sentences(placed(spark, sf_dir), 3, 1_000_000).withColumn("n", F.size("sentence").cast("long"))
+    out = sentences.sentences(_tokenised(spark, sf_dir), 3, 1_000_000).withColumn("n", F.size("sentence").cast("long"))
     return out.select("run_id", "w_idx", "entity_id", "n", F.array_join(sentences.sample_evenly(F.col("sentence"), 12), " ").alias("sentence"))
 
 
