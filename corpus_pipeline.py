@@ -55,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Several stages learn from or align the texts; run() is tested against brute force instead.
+#: Several stages learn from or align the texts; tests/llm/test_pipeline.py compares each with a brute-force version.
 ORACLE_SQL = None
