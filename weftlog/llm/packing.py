@@ -17,6 +17,8 @@ BUCKETS, DIMENSIONS, BITS = 512, 4, 10
 TIE_BITS = 63 - DIMENSIONS * BITS
 #: Sampled keys for each range, and the most ranges whatever the input's size: at most 524,288 keys reach the driver.
 SAMPLES, MOST_RANGES = 32, 16384
+#: Bytes of text that a range is meant to hold.
+RANGE_BYTES = 8 << 20
 SEQUENCE, END = 4096, 2
 
 _PROJECTION = np.random.default_rng(20).standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -68,10 +70,15 @@ def curve_keys(piece: Slice, ids: list) -> np.ndarray:
     return (out << np.uint64(TIE_BITS)) | ties
 
 
-def range_splitters(docs: DataFrame, ranges: int) -> np.ndarray:
-    """Key boundaries of equal bytes, from a hash sample of about SAMPLES * ranges documents over all partitions."""
-    n = docs.count()
-    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(max(1, n // (SAMPLES * ranges)))) == 0)
+def range_splitters(docs: DataFrame) -> np.ndarray:
+    """Key boundaries of ranges of equal bytes, from a hash sample of about SAMPLES documents a range over all partitions.
+
+    There are as many ranges as the bytes ask for, but shuffle partitions at least and MOST_RANGES at most.
+    """
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MOST_RANGES, max(least, -(-(total["size"] or 0) // RANGE_BYTES)))
+    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(max(1, total["n"] // (SAMPLES * ranges)))) == 0)
 
     def run(batches):
         for batch in batches:
@@ -88,11 +95,9 @@ def range_splitters(docs: DataFrame, ranges: int) -> np.ndarray:
     return np.unique(keys[np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges)])
 
 
-def sequence_lengths(total: int, longest: int) -> list[int]:
-    """Full sequences, and the rest as powers of two, so that nothing is padded."""
-    out = [longest] * (total // longest)
-    rest = total % longest
-    return out + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def powers_of_two(n: int) -> list[int]:
+    """The powers of two that add up to ``n``, largest first."""
+    return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
 def pack_along_curve(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,11 +107,10 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUE
     laid end to end; a range's tokens are cut into full sequences, and its last tokens into powers of two.
     Returns id, start (the document's ids before the piece), length, ids (binary, uint32), doc_tokens, part, local (the
     sequence's number in its part) and offset (in the sequence).  Null and empty texts are their end id alone, repeated
-    rows are each packed, an empty table gives no rows, and other columns are not read.  A task holds one range's ids.
+    rows are each packed, an empty table gives no rows, and other columns are not read.  A task holds one open sequence and a batch.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranges = min(MOST_RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = range_splitters(read, ranges)
+    bounds = range_splitters(read)
 
     def keyed(batches):
         for batch in batches:
@@ -119,26 +123,43 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUE
                 )
 
     def packed(batches):
-        own, part, held = encoder(tokenizer_path), 0, []
+        own, part = encoder(tokenizer_path), 0
+        rows, number, held, filled = [], 0, [], 0  # the open sequence's pieces (document, start, ids, document's ids) and tokens
+
+        def close(pieces, number):
+            offset = 0
+            for doc, start, ids, n in pieces:
+                rows.append((doc, start, len(ids), ids.tobytes(), n, part, number, offset))
+                offset += len(ids)
+
         for batch in batches:
             part = batch.column(2)[0].as_py() if len(batch) else part
-            ids = batch.column(0).to_pylist()
+            docs = batch.column(0).to_pylist()
             for piece in slices(batch.column(1)):
                 tokens, first = own.encode(piece)
-                held += [(ids[piece.lo + i], np.append(tokens[first[i] : first[i + 1]], np.uint32(end)).astype("<u4")) for i in range(piece.hi - piece.lo)]
-        lengths = sequence_lengths(sum(len(x) for _, x in held), sequence)
-        rows, number, offset = [], 0, 0
-        for doc, tokens in held:
-            start = 0
-            while start < len(tokens):
-                take = min(len(tokens) - start, lengths[number] - offset)
-                rows.append((doc, start, take, tokens[start : start + take].tobytes(), len(tokens), part, number, offset))
-                start, offset = start + take, offset + take
-                if offset == lengths[number]:
-                    number, offset = number + 1, 0
-            if len(rows) >= 1000:
-                yield batch_of(rows)
-                rows = []
+                for i in range(piece.hi - piece.lo):
+                    ids, start = np.append(tokens[first[i] : first[i + 1]], np.uint32(end)).astype("<u4"), 0
+                    while start < len(ids):
+                        take = min(len(ids) - start, sequence - filled)
+                        held.append((docs[piece.lo + i], start, ids[start : start + take], len(ids)))
+                        start, filled = start + take, filled + take
+                        if filled == sequence:
+                            close(held, number)
+                            number, held, filled = number + 1, [], 0
+                    if len(rows) >= 1000:
+                        yield batch_of(rows)
+                        rows.clear()
+        for size in powers_of_two(filled):  # what is left fills sequences without padding
+            own_pieces = []
+            while size:
+                doc, start, ids, n = held.pop(0)
+                take = min(size, len(ids))
+                own_pieces.append((doc, start, ids[:take], n))
+                if take < len(ids):
+                    held.insert(0, (doc, start + take, ids[take:], n))
+                size -= take
+            close(own_pieces, number)
+            number += 1
         if rows:
             yield batch_of(rows)
 
@@ -147,7 +168,7 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUE
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    placed = read.mapInArrow(keyed, "id long, text string, key long, part int").repartitionById(ranges, F.col("part")).sortWithinPartitions("key", "id", "text")
+    placed = read.mapInArrow(keyed, "id long, text string, key long, part int").repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("key", "id", "text")
     out = placed.select("id", "text", "part").mapInArrow(packed, "id long, start long, length long, ids binary, doc_tokens long, part int, local long, offset long")
     return out.withColumnRenamed("id", id_col)
 
