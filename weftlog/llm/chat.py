@@ -60,23 +60,21 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     One conversation's chosen branches are rows of their own, so the largest thing in one task is one formatted conversation.
     """
     steps = paths(messages).withColumn("place", -F.col("steps"))
-    piece = F.struct("place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    c = F.col
     full = steps.join(messages.select("conv", "node", "role", "text", "score"), ["conv", "node"])
-    ranked = full.groupBy("conv", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.array_sort(F.collect_list(piece)).alias("turns"))
-    ranked = ranked.withColumn("branch", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf"))).where(F.col("branch") <= branches)
-
-    head = lambda t: F.concat(F.lit(START), escaped(t["role"]), F.lit(MIDDLE))
-    said = F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("loss"), head(t).alias("head"), escaped(t["text"]).alias("text")))
-    told = ranked.withColumn("said", said)
-    lengths = F.transform("said", lambda s: F.length(s["head"]) + F.length(s["text"]) + len(STOP))
-    told = told.withColumn("lengths", lengths).withColumn(
-        "begins", F.aggregate("lengths", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    )
-    spans = F.transform("said", lambda s, i: F.struct(s["loss"].alias("loss"), (F.get("begins", i) + F.length(s["head"])).alias("begin"), F.length(s["text"]).alias("length")))
+    best = full.groupBy("conv", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"))
+    best = best.withColumn("branch", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf"))).where(c("branch") <= branches)
+
+    said = full.join(best.select("conv", "leaf", "branch"), ["conv", "leaf"])
+    said = said.withColumns({"head": F.concat(F.lit(START), escaped(F.coalesce("role", F.lit(""))), F.lit(MIDDLE)), "text": escaped(F.coalesce("text", F.lit("")))})
+    before = Window.partitionBy("conv", "leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.length("head") + F.length("text") + len(STOP)).over(before), F.lit(0)) + F.length("head")
+    said = said.withColumn("begin", begin.cast("int"))
+    turn = F.struct("place", F.concat("head", "text", F.lit(STOP)).alias("whole"), F.when(c("role") == "assistant", F.struct("begin", F.length("text").alias("length"))).alias("loss"))
+    told = said.groupBy("conv", "leaf", "branch").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     return told.select(
-        "conv", "branch", "leaf",
-        F.array_join(F.transform("said", lambda s: F.concat(s["head"], s["text"], F.lit(STOP))), "").alias("formatted"),
-        F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["begin"], s["length"])).alias("loss"),
+        "conv", "branch", "leaf", F.array_join(F.transform("turns", lambda t: t["whole"]), "").alias("formatted"),
+        F.filter(F.transform("turns", lambda t: t["loss"]), lambda s: s.isNotNull()).alias("loss"),
     )
 
 
