@@ -5,7 +5,8 @@
 2. A generative label model estimates, by expectation maximisation over the votes of labelled and unlabelled rows, how often each
    voter speaks in toxic and in clean texts, and the correlations of voters inside either class; voters that mostly speak
    together count as one, so that a word and its own beginnings do not outvote the rest.
-3. A logistic regression over many word features is trained on the model's posterior labels, and scores every whole text.
+3. A logistic regression over many word features is trained on the model's posterior labels, which for labelled rows are the labels;
+   rows without one weigh less. It scores every whole text.
 
 Nothing but the text enters a score.  Only rows that are not held out teach anything.
 """
@@ -38,6 +39,8 @@ SURE = 2.5
 #: Correlation inside a class from which voters count as one.
 TOGETHER = 0.5
 ROUNDS = 30
+#: Weight in the regression of a row without a label: voters miss what they were not mined for, so its posterior is the weaker teacher.
+UNLABELLED = 0.1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -237,8 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # what the model believes of a row, given its votes and, where it is known, its label
     weigh = F.udf(lambda found, label: float(label) if label >= 0 else posterior.get(tuple(x for x in found if x in votes_of), 0.5), T.DoubleType())
     drawn = seen.where(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_DOCS / (clean + toxic))))
-    soft = drawn.select(vector("found").alias("features"), weigh("found", "label").alias("p"))
-    taught = soft.select("features", F.lit(1.0).alias("label"), F.col("p").alias("weight")).union(soft.select("features", F.lit(0.0), 1 - F.col("p"))).where("weight > 0.001")
+    soft = drawn.select(vector("found").alias("features"), weigh("found", "label").alias("p"), F.when(F.col("label") < 0, UNLABELLED).otherwise(1.0).alias("trust"))
+    taught = soft.select("features", F.lit(1.0).alias("label"), (F.col("trust") * F.col("p")).alias("weight")).union(soft.select("features", F.lit(0.0), F.col("trust") * (1 - F.col("p")))).where("weight > 0.0001")
     taught = written(taught, "toxicity-training")
     line = LogisticRegression(maxIter=40, regParam=1e-4, standardization=False, weightCol="weight").fit(taught)
     return Scorer(table, line.coefficients.toArray(), float(line.intercept))
