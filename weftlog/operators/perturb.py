@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftlog.schema import API, DNS, KUBEAPI, KUBEAPI_ID, POD, RPC, SERVICE
 
 #: Fixed values of the injected events.
-EXFIL_DOMAIN, EXFIL_QUERIES, BURST_CALLS, STEP_US = "exfil-c2-4f9a2.evil-domain.example", 20, 15, 100_000
+EXFIL_DOMAIN, EXFIL_QUERIES, BURST_CALLS, STEP_US = "drain-07.weft-probe.example", 20, 15, 100_000
 SENSITIVE_CALLS = (("list", "secrets", None), ("create", "pods", None), ("get", "secrets", None), ("create", "pods", "exec"))
 
 

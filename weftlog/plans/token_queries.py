@@ -113,7 +113,7 @@ def user_protocol_service(spark, sf_dir):
     user = F.when(k % 4 == 0, "system:serviceaccount:default:x").when(k % 4 == 1, "system:node:n1").when(k % 4 == 2, "admin")
     agent = F.when(k % 5 == 0, "grpc-go/1.0").otherwise("curl")
     path, proto = F.when(k % 3 == 0, "/shop.Cart/Get").otherwise("/cart/get"), F.lit("HTTP/2")
-    service = net.canonical_service(F.when(k % 4 == 0, "canon"), F.when(k % 4 == 1, F.concat(F.lit("app"), c("c_nationkey"))).otherwise(""), F.when(k % 4 == 2, "owner-5976767489"), F.lit("pod-5976767489-mljz4"))
+    service = net.canonical_service(F.when(k % 4 == 0, "canon"), F.when(k % 4 == 1, F.concat(F.lit("app"), c("c_nationkey"))).otherwise(""), F.when(k % 4 == 2, "owner-7c4d9b8f66"), F.lit("pod-7c4d9b8f66-pq2rs"))
     return table(spark, sf_dir, "customer").select("c_custkey", net.user_type(user).alias("user_type"), net.rpc_protocol(agent, path, proto).alias("protocol"), service.alias("service"))
 
 
