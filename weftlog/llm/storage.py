@@ -25,10 +25,12 @@ def bounded_memory(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests), a local one of our own."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and the master is local (tests), one of our own."""
     bounded_memory(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="weftlog-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
