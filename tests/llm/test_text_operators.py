@@ -115,7 +115,11 @@ def test_addressable_codes(spark, corpus, empty):
 def test_random_access():
     ids = np.random.default_rng(3).integers(0, 1 << 20, 3000).astype(np.uint32)
     codes = tokens.Codes.of(b"".join(tokens.packed([None, 5], np.array([0, 10, 3000]), ids)))
-    assert np.array_equal(codes.all_tokens(), ids) and [codes.token(i) for i in range(3000)] == ids.tolist()
+    assert [codes.token(i) for i in range(3000)] == ids.tolist()
+    cuts = [0, 1, 7, 8, 511, 512, 513, 1024, 2047, 2560, 2999, 3000]
+    assert all(np.array_equal(codes.span(lo, hi), ids[lo:hi]) for lo in cuts for hi in cuts if lo <= hi)
+    small = tokens.Codes.of(b"".join(tokens.packed([5], np.array([0, 512]), np.arange(512))))
+    assert all(np.array_equal(small.span(lo, 512), np.arange(lo, 512)) for lo in (0, 255, 256, 511, 512))
     with pytest.raises(ValueError, match="too large"):
         tokens.encode_levels(np.array([1 << 20]), (8, 8))
 

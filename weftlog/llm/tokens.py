@@ -100,23 +100,34 @@ class Codes:
     def token(self, i: int, widths: tuple[int, ...] = WIDTHS) -> int:
         """The i-th id, by one look at each level that it has."""
         value, shift = 0, 0
-        for (chunks, bits, ranks), width in zip(self.levels, widths, strict=True):
+        for j, (chunks, bits, _) in enumerate(self.levels):
             value |= int(chunks[i]) << shift
             if not len(bits) or not bits[i >> 3] >> (i & 7) & 1:
                 return value
-            block = i // BLOCK
-            before = int(_POPCOUNT[bits[block * (BLOCK // 8) : i >> 3]].sum()) + bin(int(bits[i >> 3]) & ((1 << (i & 7)) - 1)).count("1")
-            i, shift = int(ranks[block]) + before, shift + width
+            i, shift = self._rank(j, i), shift + widths[j]
         return value
 
-    def all_tokens(self, widths: tuple[int, ...] = WIDTHS) -> np.ndarray:
-        """Every id, level by level from the last."""
-        value = np.zeros(0, np.uint32)
-        for (chunks, bits, _), width in reversed(list(zip(self.levels, widths, strict=True))):
-            own = chunks.astype(np.uint32)
+    def _rank(self, level: int, i: int) -> int:
+        """Set bits before the i-th of a level's bitmap."""
+        _, bits, ranks = self.levels[level]
+        before = int(_POPCOUNT[bits[i // BLOCK * (BLOCK // 8) : i >> 3]].sum())
+        return int(ranks[i // BLOCK]) + before + bin(int(bits[i >> 3]) & ((1 << (i & 7)) - 1)).count("1")
+
+    def span(self, lo: int, hi: int, widths: tuple[int, ...] = WIDTHS) -> np.ndarray:
+        """Ids lo to hi (exclusive): the rank directories give their part of each level, and nothing else is decoded."""
+        parts = []
+        for j, (chunks, bits, _) in enumerate(self.levels):
+            more = np.zeros(hi - lo, bool)
             if len(bits):
-                more = np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)
-                own[more] |= value << np.uint32(width)
+                more = np.unpackbits(bits[lo >> 3 : -(-hi // 8)], bitorder="little")[lo & 7 : (lo & 7) + hi - lo].astype(bool)
+            parts.append((chunks[lo:hi].astype(np.uint32), more, np.uint32(widths[j])))
+            if not more.any():
+                break
+            lo = self._rank(j, lo)
+            hi = lo + int(np.count_nonzero(more))
+        value = np.zeros(0, np.uint32)
+        for own, more, width in reversed(parts):
+            own[more] |= value << width
             value = own
         return value
 
@@ -166,7 +177,10 @@ def write_codes(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str =
 
 
 def read_codes(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """Each document of the files: doc_id, start (ids before it, over all files), n_tokens, ids (binary, uint32)."""
+    """Each document of the files: doc_id, start (ids before it, over all files), n_tokens, ids (binary, uint32).
+
+    Each document is read by its own address, not by decoding its file.
+    """
     # one row for each file, each of FILE_IDS ids or one range; the files of 100 TB of text come to some ten million short rows
     base = manifest.select("file", (F.sum("n_tokens").over(Window.orderBy("file")) - F.col("n_tokens")).alias("base"))
 
@@ -174,13 +188,13 @@ def read_codes(spark, folder: str, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = Codes.of(data.as_buffer().to_pybytes())
-                ids, first = codes.all_tokens().astype("<u4"), codes.firsts.astype(np.int64)
+                first = codes.firsts.astype(np.int64)
                 for lo in range(0, len(codes.doc_ids), 500):
                     hi = min(lo + 500, len(codes.doc_ids))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([path.rpartition("/")[2]] * (hi - lo)), pa.array(codes.doc_ids[lo:hi], mask=codes.null_ids[lo:hi].astype(bool)),
-                            pa.array(first[lo:hi]), pa.array(np.diff(first[lo : hi + 1])), pa.array([ids[first[i] : first[i + 1]].tobytes() for i in range(lo, hi)], pa.binary()),
+                            pa.array(first[lo:hi]), pa.array(np.diff(first[lo : hi + 1])), pa.array([codes.span(int(first[i]), int(first[i + 1])).astype("<u4").tobytes() for i in range(lo, hi)], pa.binary()),
                         ],
                         names=["file", "doc_id", "local", "n_tokens", "ids"],
                     )
