@@ -38,6 +38,14 @@ def test_quality(corpus, empty):
     assert quality.cascade(corpus).count() == len(corpus_rows()) and quality.cascade(empty).count() == 0
 
 
+def test_few_letters_counts_characters(spark, write):
+    words_of = [f"ж{i}{i * 7919 % 10007:05d}" for i in range(60)]
+    docs = write([(1, " ".join(words_of)), (2, " ".join(w.strip("0123456789") * 3 + w[:2] for w in words_of))])
+    got = {r.doc_id: (r.kept, r.rejected_by) for r in quality.cascade(docs).collect()}
+    assert got[1] == (False, "few_letters") and got[2][1] != "few_letters"
+    against_sql(quality.cascade(docs).drop("rejected_by"), quality.ORACLE, documents=docs.select("doc_id", "text"))
+
+
 def test_rules_are_ordered_by_rejections_per_second():
     stats = {"symbols": (1.0, 0.5), "duplicate_lines": (0.1, 0.2), "word_length": (1.0, 0.0), "few_letters": (5.0, 0.9)}
     assert [r.name for r in quality.ordered(quality.RULES, stats)][:3] == ["duplicate_lines", "symbols", "few_letters"]

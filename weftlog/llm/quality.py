@@ -25,7 +25,7 @@ CHARACTER[0x80:0xC0] = 0
 NO_BREAK = np.ones(256, dtype=bool)
 NO_BREAK[0x0A] = False
 LETTER = np.zeros(256, dtype=bool)
-LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]] = True  # first bytes only
 
 
 def repeated(keys: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
@@ -108,7 +108,7 @@ class Features:
         return self._once("n_repeat_words", make)
 
     def letters(self, keep: np.ndarray) -> np.ndarray:
-        """Bytes of letters, for the texts in ``keep``."""
+        """Letters (A-Z, a-z and all beyond ASCII), for the texts in ``keep``."""
         out = np.zeros(self.n, np.int64)
         for i in np.flatnonzero(keep):
             out[i] = np.count_nonzero(LETTER[self.piece.data[self.piece.offsets[i] : self.piece.offsets[i + 1]]])
@@ -233,7 +233,7 @@ WITH d AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-    strlen(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS letters, coalesce(list_max([strlen(x) for x in w]), 0) AS longest
+    length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS letters, coalesce(list_max([strlen(x) for x in w]), 0) AS longest
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
