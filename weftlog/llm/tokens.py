@@ -181,8 +181,12 @@ def read_codes(spark, folder: str, manifest: DataFrame) -> DataFrame:
 
     Each document is read by its own address, not by decoding its file.
     """
-    # one row for each file, each of FILE_IDS ids or one range; the files of 100 TB of text come to some ten million short rows
-    base = manifest.select("file", (F.sum("n_tokens").over(Window.orderBy("file")) - F.col("n_tokens")).alias("base"))
+    # a range's files are summed within the range, and the ranges, one row each, in one task
+    sized = manifest.withColumn("part", F.substring_index("file", "-", 1))
+    ranges = sized.groupBy("part").agg(F.sum("n_tokens").alias("all"))
+    ranges = ranges.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("file")) - F.col("n_tokens")
+    base = sized.withColumn("within", within).join(ranges, "part").select("file", (F.col("before") + F.col("within")).alias("base"))
 
     def run(batches):
         for batch in batches:
