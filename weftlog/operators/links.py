@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Values of an end's number that are ranked in one task.
+BLOCK = 1000
+
 
 def held_out(a: Column, b: Column, tenths: int = 3) -> Column:
     """Whether a link of the numbers a and b is held out; a link and its reverse share the answer."""
@@ -17,7 +20,12 @@ def negatives(edges: DataFrame) -> DataFrame:
     Destinations are numbered and joined by number, so candidates grow with the edges and not with the pairs of nodes.
     """
     ends = edges.select("dst", "b").distinct()
-    numbered = ends.select("dst", (F.row_number().over(Window.orderBy("b", "dst")) - 1).cast("long").alias("i"))  # one row for each entity
+    # numbers in order of (b, dst): within blocks of BLOCK values of b, then the blocks, one row each, in one task
+    blocked = ends.withColumn("block", F.coalesce(F.floor(F.col("b") / BLOCK), F.lit(-(1 << 62))))
+    sizes = blocked.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("block", (F.sum("size").over(Window.orderBy("block")) - F.col("size")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("block").orderBy("b", "dst")) - 1
+    numbered = blocked.withColumn("nth", nth).join(before, "block").select("dst", (F.col("before") + F.col("nth")).cast("long").alias("i"))
     total = ends.agg(F.count(F.lit(1)).alias("n"))
     tries = edges.join(F.broadcast(total)).select("src", ((F.col("a") * 13 + F.col("b") * 7 + 1) % F.col("n")).alias("i"))
     drawn = tries.join(numbered, "i").select("src", "dst").where("src <> dst").distinct()
