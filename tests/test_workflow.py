@@ -9,7 +9,7 @@ from weftlog.schema import SCORES
 from weftlog.sources import runs
 
 RUNS = ["boutique-mix_20250304-090000", "boutique-mix_20250304-100000", "boutique-mix_20250304-110000"]
-SMALL = ["windows.width_s=60", "windows.stride_s=60", "windows.min_tail_s=10", "w2v.dim=8", "w2v.epochs=1", "w2v.min_count=1", "train.trees=3", "train.max_iter=5", "detectors.ppt.windows.width_s=60", "detectors.ppt.windows.stride_s=60"]
+SMALL = ["windows.width_s=60", "windows.stride_s=60", "windows.min_tail_s=10", "w2v.dim=8", "w2v.epochs=1", "w2v.min_count=1", "train.xgb.n_estimators=2", "train.xgb.max_depth=2", "train.max_iter=5", "detectors.ppt.windows.width_s=60", "detectors.ppt.windows.stride_s=60", "detectors.ppt.model.width=8", "detectors.ppt.model.hidden=6", "detectors.ppt.train.pretrain.epochs=2", "detectors.ppt.train.finetune.max_epochs=3"]
 
 
 @pytest.fixture(params=["flash", "ppt"])

@@ -19,14 +19,19 @@ DEFAULTS: dict[str, Any] = {
     "graph": {"include_workload_nodes": False, "reverse_edges": True, "flow_memory": 20, "max_events_per_window": 1000},
     "features": {"time_enc_dim": 16, "path_vocab": 64, "dns_vocab": 32, "api_resource_vocab": 32},
     "model": {"objective": "flash_cls", "hops": 2},
-    "train": {"max_iter": 100, "reg": 1e-3, "trees": 60, "max_depth": 6, "holdout_tenths": 3, "max_pos_per_type": 2000},
+    "train": {"max_iter": 100, "reg": 1e-3, "xgb": {"n_estimators": 300, "max_depth": 6, "learning_rate": 0.1, "early_stopping_rounds": 20}},
     "scoring": {"source": "xgb", "threshold_q": 0.995, "threshold_on": "score_norm"},
     "artifacts_dir": "artifacts/default",
     "results_dir": "results_eval",
     "detectors": {
         "flash": {},
         "ppt": {
-            "artifacts_dir": "artifacts/ppt", "results_dir": "results_eval/ppt", "windows": {"width_s": 5, "stride_s": 5, "min_tail_s": 2.5, "memory": 5}, "model": {"objective": "ppt_cls", "hops": 2},
+            "artifacts_dir": "artifacts/ppt", "results_dir": "results_eval/ppt", "windows": {"width_s": 5, "stride_s": 5, "min_tail_s": 2.5, "memory": 5}, "model": {"objective": "ppt_cls", "layers": 2, "width": 32, "hidden": 32},
+            # step sizes are for one step a round over all rows
+            "train": {
+                "pretrain": {"enabled": True, "lr": 1e-2, "epochs": 40, "patience": 8, "neg_ratio": 1.0, "holdout_frac": 0.3, "max_pos_per_type": 2000},
+                "finetune": {"lr": 1e-2, "weight_decay": 5e-4, "max_epochs": 100, "patience": 15}, "scratch_lr": 1e-3,
+            },
         },
     },
 }

@@ -1,12 +1,20 @@
-"""Supervision for link prediction: held-out links and sampled non-links."""
+"""Supervision for link prediction: held-out links, capped positives and sampled non-links, relation by relation."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.scratch import written
+
 #: Values of an end's number that are ranked in one task.
 BLOCK = 1000
+#: A relation in a graph; ``later`` is the window of the destination, ``pos`` for all relations within a window.
+GRAPH = ["run_id", "pos", "later", "relation"]
+#: Mirrored relations and their forward twins.
+MIRRORS = {"rev_src_of": "src_of", "rev_dst_of": "dst_of"}
+#: Values that a draw can take.
+DRAWS = 1 << 32
 
 
 def held_out(a: Column, b: Column, tenths: int = 3) -> Column:
@@ -32,7 +40,68 @@ def negatives(edges: DataFrame) -> DataFrame:
     return drawn.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-def most_of(edges: DataFrame, key: str, most: int, seed: int = 17) -> DataFrame:
-    """At most ``most`` edges of each ``key``, those of smallest hash."""
-    order = Window.partitionBy(key).orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst")
-    return edges.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_nth")
+def draw(seed: int, *columns: Column) -> Column:
+    """A number from 0 to 2**32 - 1 that depends on the seed and the columns' texts alone: the first hex digits of their MD5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def link_draw(seed: int) -> Column:
+    """The draw of a typed edge; a mirrored edge has that of its forward twin, so both share all that follows from it."""
+    c = F.col
+    forward = F.create_map(*[F.lit(x) for pair in MIRRORS.items() for x in pair])
+    twin = F.try_element_at(forward, c("relation"))
+    flip = lambda a, b: F.when(twin.isNotNull(), c(b)).otherwise(c(a))
+    return draw(seed, c("run_id"), c("pos"), c("later"), F.coalesce(twin, c("relation")), flip("src", "dst"), flip("dst", "src"))
+
+
+def supervised(edges: DataFrame, share: float = 0.3, seed: int = 17) -> DataFrame:
+    """Adds held: whether a typed edge (run_id, pos, later, relation, src, dst) is kept from the messages, to be predicted."""
+    return edges.withColumn("held", link_draw(seed) < F.lit(int(share * DRAWS)))
+
+
+def smallest(rows: DataFrame, key: str, number: Column, most: int, *ties: str) -> DataFrame:
+    """At most ``most`` rows of each key, those of smallest number (0 to 2**32 - 1), then by ``ties``.
+
+    Rows are counted by key and the number's upper half first, in partial sums: that is a bounded table, from which follows in which
+    bin the last row lies.  Only rows up to this bin are kept, and only its own are ordered, so no key is sorted and no task sees a whole one.
+    """
+    marked = rows.withColumn("_number", number).withColumn("_bin", F.shiftright("_number", 16))
+    bins = marked.groupBy(key, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_bin")) - F.col("_n")
+    room = bins.select(key, "_bin", (F.lit(most) - before).alias("_room")).where("_room > 0")
+    place = F.row_number().over(Window.partitionBy(key, "_bin").orderBy("_number", *ties))
+    return marked.join(room, [key, "_bin"]).withColumn("_place", place).where("_place <= _room").drop("_number", "_bin", "_room", "_place")
+
+
+def numbered_ends(edges: DataFrame, end: str) -> DataFrame:
+    """(run_id, pos, later, relation, end, i, n): the distinct ends of a relation in a graph, numbered from 0, and how many there are. Graphs are bounded by the cap on events."""
+    over = Window.partitionBy(*GRAPH)
+    ends = edges.select(*GRAPH, end).distinct()
+    return ends.select(*GRAPH, end, (F.row_number().over(over.orderBy(end)) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(over).alias("n"))
+
+
+def relation_negatives(positives: DataFrame, edges: DataFrame, ratio: int = 1, seed: int = 17, tries: int = 8) -> DataFrame:
+    """(run_id, pos, later, relation, src, dst): for each positive ``ratio`` pairs of its own relation's ends in its own graph that are no edge and no loop.
+
+    Both ends are drawn by number from the ends that the relation has in the graph, and joined by number, so candidates grow with the
+    positives and not with pairs of nodes.  A pair that hits an edge is drawn again, up to ``tries`` times; only those take part
+    in the next round.  A graph without non-edges gives none, and a pair drawn twice is one.
+    """
+    known = written(edges.select(*GRAPH, "src", "dst").distinct(), "known-links")
+    sources, sinks = written(numbered_ends(known, "src"), "sources"), written(numbered_ends(known, "dst"), "sinks")
+    sizes = sources.where("i = 0").select(*GRAPH, F.col("n").alias("n_src")).join(sinks.where("i = 0").select(*GRAPH, F.col("n").alias("n_dst")), GRAPH)
+    open_ = positives.select(*GRAPH, F.col("src").alias("of_src"), F.col("dst").alias("of_dst"), F.explode(F.sequence(F.lit(1), F.lit(ratio))).alias("copy"))
+    open_, found = open_.join(sizes, GRAPH), None
+    for attempt in range(tries):
+        at = lambda side, n, attempt=attempt: draw(seed, F.lit(side), *map(F.col, (*GRAPH, "of_src", "of_dst", "copy")), F.lit(attempt)) % F.col(n)
+        drawn = open_.withColumns({"i_src": at("src", "n_src"), "i_dst": at("dst", "n_dst")})
+        drawn = drawn.join(sources.select(*GRAPH, F.col("i").alias("i_src"), "src"), [*GRAPH, "i_src"]).join(sinks.select(*GRAPH, F.col("i").alias("i_dst"), "dst"), [*GRAPH, "i_dst"])
+        drawn = drawn.join(known.withColumn("hit", F.lit(True)), [*GRAPH, "src", "dst"], "left").withColumn("hit", F.coalesce("hit", F.col("src") == F.col("dst")))
+        drawn = written(drawn.drop("i_src", "i_dst"), "drawn")
+        good = drawn.where(~F.col("hit")).select(*GRAPH, "src", "dst")
+        found = good if found is None else found.unionByName(good)
+        open_ = drawn.where("hit").drop("src", "dst", "hit")
+        if open_.isEmpty():
+            break
+    return found.distinct()

@@ -70,15 +70,13 @@ def spatial_edges(incident: DataFrame) -> DataFrame:
 def follow_edges(nodes: DataFrame, most: int) -> DataFrame:
     """(run_id, pos, edge_type, src, dst): each event after its up to ``most`` predecessors with the same source, and with the same destination.
 
-    The predecessors are a row frame over one ordering by endpoint, so nothing is joined.
+    Both ends of an event become one row each, and the predecessors are a row frame over one ordering by endpoint, so nothing is joined.
     """
-    out = None
-    for kind, end in (("follows_src", "src_id"), ("follows_dst", "dst_id")):
-        before = Window.partitionBy("run_id", "pos", end).orderBy("order").rowsBetween(-most, -1)
-        linked = nodes.withColumn("before", F.collect_list("event_id").over(before))
-        edges = linked.select("run_id", "pos", F.lit(kind).alias("edge_type"), F.explode("before").alias("src"), F.col("event_id").alias("dst"))
-        out = edges if out is None else out.unionByName(edges)
-    return out
+    kinds = F.array(*[F.struct(F.lit(kind).alias("edge_type"), F.col(end).alias("end")) for kind, end in (("follows_src", "src_id"), ("follows_dst", "dst_id"))])
+    ends = nodes.select("run_id", "pos", "event_id", "order", F.inline(kinds))
+    before = Window.partitionBy("run_id", "pos", "edge_type", "end").orderBy("order").rowsBetween(-most, -1)
+    linked = ends.withColumn("before", F.collect_list("event_id").over(before))
+    return linked.select("run_id", "pos", "edge_type", F.explode("before").alias("src"), F.col("event_id").alias("dst"))
 
 
 def recurrence_edges(copies: DataFrame, memory: int) -> DataFrame:
@@ -90,3 +88,15 @@ def recurrence_edges(copies: DataFrame, memory: int) -> DataFrame:
 def in_memory(by_position: DataFrame, windows: DataFrame, memory: int) -> DataFrame:
     """Rows by position once for each newest window that remembers them, with newest and age."""
     return by_position.join(memory_members(windows, memory), ["run_id", "pos"])
+
+
+def typed_edges(nodes: DataFrame, incident: DataFrame, copies: DataFrame, flow_memory: int, memory: int) -> DataFrame:
+    """(run_id, pos, later, relation, src, dst): all seven relations in one table. Ids are of events and entities, as the relation tells;
+    the source lies in window pos and the destination in window later."""
+    c = F.col
+    spatial = spatial_edges(incident)
+    back = c("edge_type").startswith("rev_")
+    spatial = spatial.select("run_id", "pos", c("pos").alias("later"), c("edge_type").alias("relation"), F.when(back, c("event_id")).otherwise(c("entity_id")).alias("src"), F.when(back, c("entity_id")).otherwise(c("event_id")).alias("dst"))
+    follows = follow_edges(nodes, flow_memory).select("run_id", "pos", c("pos").alias("later"), c("edge_type").alias("relation"), "src", "dst")
+    recurs = recurrence_edges(copies, memory).select("run_id", "pos", "later", F.lit("recurs").alias("relation"), c("entity_id").alias("src"), c("entity_id").alias("dst"))
+    return spatial.unionByName(follows).unionByName(recurs)

@@ -1,4 +1,4 @@
-"""Learned stages on Spark ML: embeddings, role classifiers, boosters, link prediction.
+"""Learned stages on Spark ML: embeddings, role regression and scores.
 
 Neighbourhoods are propagated for a fixed number of hops ([x, Ax, A(Ax)]) and classified by a weighted multinomial regression; this
 stands in for a trained graph network, with the same inputs, target and score, and makes no claim to equal weights.
@@ -6,7 +6,7 @@ stands in for a trained graph network, with the same inputs, target and score, a
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -66,14 +66,6 @@ def role_regression(nodes: DataFrame, columns: list[str], iterations: int = 100,
     return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=iterations, regParam=penalty, family="multinomial").fit(rows)
 
 
-def role_forest(nodes: DataFrame, columns: list[str], trees: int = 60, depth: int = 6, seed: int = 17):
-    """Weighted forest on the same vectors; None with fewer than two classes."""
-    rows = training_rows(nodes, columns)
-    if len(rows.select("y").distinct().take(2)) < 2:
-        return None
-    return RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
-
-
 def probabilities(nodes: DataFrame, model, columns: list[str]) -> DataFrame:
     """Adds probs, the model's class probabilities; without a model, all on the other class."""
     if model is None:
@@ -99,16 +91,3 @@ def node_scores(nodes: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "run_id", "w_idx", "entity_id", F.col("entity_type").alias("node_type"), F.when(F.col("y") == 0, OTHER).otherwise(F.col("label")).alias("true_label"),
         F.coalesce(F.get("names", best(F.col("probs"))), F.lit("?")).alias("pred_label"), "p_true", (1 - F.col("p_true")).alias("score_raw"),
     )
-
-
-def link_model(positives: DataFrame, negatives_: DataFrame, iterations: int = 50):
-    """Binary regression on products of end vectors, for pairs (x_src, x_dst)."""
-    product = array_to_vector(F.zip_with("x_src", "x_dst", lambda a, b: a * b)).alias("features")
-    rows = positives.select(product, F.lit(1.0).alias("y")).unionByName(negatives_.select(product, F.lit(0.0).alias("y")))
-    return LogisticRegression(featuresCol="features", labelCol="y", maxIter=iterations, regParam=1e-3).fit(rows)
-
-
-def link_scores(pairs: DataFrame, model) -> DataFrame:
-    """Adds p, the chance of a link."""
-    out = model.transform(pairs.withColumn("features", array_to_vector(F.zip_with("x_src", "x_dst", lambda a, b: a * b))))
-    return out.withColumn("p", F.get(vector_to_array("probability"), 1)).drop("features", "rawPrediction", "probability", "prediction")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from weftlog.operators import alerts, splits, stats, windows
 from weftlog.operators.perturb import PERTURBATIONS
 from weftlog.plans.detectors import Detector, get_detector, load_detector, run_tables, window_spec
 from weftlog.schema import POD
-from weftlog.scratch import written
+from weftlog.scratch import write_text, written
 from weftlog.sources import runs
 
 
@@ -107,7 +106,5 @@ def evaluate(spark: SparkSession, config: dict) -> dict:
         for path, value in changes:
             put(fork, path, value)
         report["ablation"][name] = alerts.benign_fp(_alerted(detector, fork, events, entities)).first().asDict()
-    out = Path(get(own, "results_dir"))
-    out.mkdir(parents=True, exist_ok=True)
-    (out / "eval_report.json").write_text(json.dumps(report, indent=2))
+    write_text(spark, f"{get(own, 'results_dir')}/eval_report.json", json.dumps(report, indent=2))
     return report

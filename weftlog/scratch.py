@@ -1,26 +1,61 @@
-"""Intermediate tables in the shared folder that the cluster names."""
+"""Intermediate tables in the shared folder that the cluster names, and small files of its file system."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``.  Only where the setting is unset and the master is local, one of our own takes its place."""
+    out = spark.conf.get("spark.checkpoint.dir", None)
+    if not out:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        out = "file://" + tempfile.mkdtemp(prefix="weftlog-")
+        spark.conf.set("spark.checkpoint.dir", out)
+    return out.rstrip("/")
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back.
 
     Its plan is then a scan, so what is built on it several times is computed once and planned small, and a lost executor
-    loses nothing of it.  Only where the setting is unset and the master is local, a folder of our own takes its place.
+    loses nothing of it.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="weftlog-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, uri: str):
+    """The file system that a path lies in, and the path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def write_text(spark: SparkSession, uri: str, text: str) -> None:
+    """A small text as one file of the cluster's file system; one that exists is replaced."""
+    system, path = _file(spark, uri)
+    out = system.create(path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, uri: str) -> str:
+    system, path = _file(spark, uri)
+    stream = system.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
