@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import CLASHING, corpus_rows, edited, words
-from weftlog.llm import components, neardup, suffixes
+from weftlog.llm import components, decontaminate, neardup, suffixes
+from weftlog.llm.storage import numbered, stable
 from weftlog.llm.text import SPACE, slices, span_hashes, window_hashes, window_starts
 from weftlog.llm.text import words as split
 
@@ -41,9 +42,9 @@ def repeated_words(rows, length):
 
 def check_spans(docs):
     """Spans against brute force: each is true, and together they hold exactly the windows that occur earlier, and twice or more."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").collect()
-    place = {r.row: (r.doc_id is not None, r.doc_id or 0, r.row) for r in numbered}
-    texts, ids, n = {r.row: split_words(r.text) for r in numbered}, {r.row: r.doc_id for r in numbered}, suffixes.LENGTH
+    rows = numbered(docs, doc_id=F.col("doc_id"), text=F.col("text")).collect()
+    place = {r.row: (r.doc_id is not None, r.doc_id or 0, r.row) for r in rows}
+    texts, ids, n = {r.row: split_words(r.text) for r in rows}, {r.row: r.doc_id for r in rows}, suffixes.LENGTH
     at = {}
     for row in sorted(texts, key=place.get):
         for s in range(len(texts[row]) - n + 1):
@@ -90,7 +91,7 @@ def test_edited_copies_between_do_not_hide_a_passage(write):
 
 def test_rows_of_any_table_are_numbered_once(spark, corpus):
     other = corpus.repartition(3, "text").withColumn("x", F.rand())
-    assert len(suffixes.repeats(other)[1].collect()) == len(suffixes.repeats(corpus)[1].collect())
+    check_spans(stable(other))
 
 
 def test_cutting_leaves_one_copy(corpus, empty):
@@ -274,3 +275,79 @@ def test_window_hashes():
     assert all(whole[i] == window_hashes(values[i : i + 7], 7)[0] for i in range(0, len(whole), 13))
     assert span_hashes(values, np.array([5]), np.array([12]))[0] == whole[5]
     assert window_starts(np.array([0, 3, 3, 8]), 3).tolist() == [0, 3, 4, 5]
+
+
+@pytest.fixture
+def changing_splits(spark, monkeypatch):
+    """Executors come and go: each written table is followed by scans that are split for another number of cores."""
+    from weftlog.llm import storage
+
+    key, plain, cores = "spark.sql.leafNodeDefaultParallelism", storage.written, iter([3, 11, 1, 6] * 50)
+
+    def written(df, name):
+        out = plain(df, name)
+        spark.conf.set(key, str(next(cores)))
+        return out
+
+    for module in (storage, suffixes, neardup, decontaminate):
+        monkeypatch.setattr(module, "written", written)
+    spark.conf.set(key, "4")
+    yield
+    spark.conf.unset(key)
+
+
+def many_files(write):
+    rng = random.Random(8)
+    shared = [words(rng, 90) for _ in range(6)]
+    texts = [" ".join(words(rng, 30) + shared[i % 6] + words(rng, 40)) if i % 3 == 0 else " ".join(words(rng, 120)) for i in range(160)]
+    texts += [" ".join(edited(rng, texts[i].split(), 1)) for i in range(40)]
+    rows = list(enumerate(texts))
+    return rows, write(rows, 12)
+
+
+def test_rows_are_known_when_splits_change(write, changing_splits):
+    rows, docs = many_files(write)
+    check_spans(docs)
+    assert check_classes(rows, docs) >= 80
+    items = docs.sparkSession.createDataFrame([(1, " ".join(rows[3][1].split()[5:40]))], "item_id long, text string")
+    hit = {i for i, t in rows if " ".join(rows[3][1].split()[5:40])[:60] in t}
+    assert {i for i, _ in rows} - {r.doc_id for r in decontaminate.clean_documents(docs, items).collect()} >= {3} and hit >= {3}
+
+
+def test_cutting_and_choosing_when_splits_change(write, changing_splits):
+    rows, docs = many_files(write)
+    kept = {r.doc_id: r.text for r in neardup.one_of_each(docs).collect()}
+    assert all(kept[i] == dict(rows)[i] for i in kept) and len(kept) == len(set(expected_classes(rows).values())) + sum(t not in expected_classes(rows) for _, t in rows)
+    cut = {r.doc_id: r.text for r in suffixes.without_duplicates(docs).collect()}
+    assert sum(cut[i] == t for i, t in rows if i in cut) >= 90 and all(set(cut[i].split()) <= set(t.split()) for i, t in rows if i in cut)
+
+
+def test_what_may_be_scanned_again(spark, corpus):
+    assert stable(corpus) is corpus
+    part = corpus.select("doc_id", "text").where("doc_id > 3")
+    assert stable(part) is part
+    one, two = ({(r.row, r.text) for r in numbered(part, text=F.col("text")).collect()} for _ in range(2))
+    assert one == two and len({r for r, _ in one}) == part.count()
+    for changes in (corpus.where(F.rand() < 0.5), corpus.orderBy("text"), spark.createDataFrame([(1, "x")], "doc_id long, text string")):
+        assert stable(changes) is not changes
+
+
+def test_partners_join_the_classes(write):
+    got = neardup.near_duplicates(write([r for r in corpus_rows() if r[0] is not None])).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.class_id, []).append(r)
+    for members in sizes.values():
+        for r in members:
+            if r.partner_id is None:
+                continue
+            assert r.partner_id in {m.id for m in members} and 0.8 - 1e-9 <= r.similarity <= 1
+        ids = {m.id for m in members}
+        linked, seen = {i: {m.partner_id for m in members if m.id == i} | {m.id for m in members if m.partner_id == i} for i in ids}, set()
+        todo = [members[0].id]
+        while todo:
+            if (x := todo.pop()) not in seen and x is not None:
+                seen.add(x)
+                todo += linked.get(x, set())
+        # an edge a member: a class of n is in at most n / 2 parts, and copies hang on their first
+        assert len(seen) >= min(2, len(ids))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.llm.bitmap import bitmap_of, passes
-from weftlog.llm.storage import written
+from weftlog.llm.storage import numbered, stable, written
 from weftlog.llm.text import ALNUM, Slice, Words, slices, sliding_minimum, window_hashes, window_starts, words
 
 GRAM, WINDOW = 5, 6
@@ -159,8 +159,9 @@ def decontamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any hit, with all their columns. A row is known by a number that is written with it."""
-    rows = docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    """The documents without any hit, with all their columns. A row is known by its place in the files."""
+    docs = stable(docs)
+    rows = numbered(docs, doc=F.struct(*[F.col(f"`{c}`") for c in docs.columns])).withColumnRenamed("row", "number")
     every, spans = contamination(rows.select("number", F.col("doc.text").alias("text")), items, id_col="number")
     hit = every.join(spans.select("row").distinct(), "row", "left_semi").select("number")
     return rows.join(hit, "number", "left_anti").select("doc.*")

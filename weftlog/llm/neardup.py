@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from weftlog.llm.bitmap import bitmap_of, passes
 from weftlog.llm.components import components
-from weftlog.llm.storage import stable, written
+from weftlog.llm.storage import numbered, stable, written
 from weftlog.llm.text import SPACE, Words, mix, slices, span_hashes, window_hashes, window_starts, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -297,8 +297,8 @@ def best_of_units(pairs: DataFrame) -> DataFrame:
     return written(pairs.groupBy("g", "h").agg(F.max(F.struct("bound", "a", "b")).alias("best")).select("best.a", "best.b"), "best")
 
 
-def classes(read: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the texts that are linked: the components of all pairs of similarity SIMILARITY.
+def classes(read: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the texts that are linked, the components of all pairs of similarity SIMILARITY; and (a, b, similarity) of links that join them.
 
     Sketches come first; what they join is a unit.  Then each text is compared with one of the largest unit among those that share a
     prefix shingle with it, which joins most of what is left of large groups.  Last, all pairs of prefixes are compared:
@@ -306,59 +306,77 @@ def classes(read: DataFrame, texts: DataFrame) -> DataFrame:
     """
     text = read.select("row", "text")
     named = lambda roots: roots.select(F.col("node").alias("row"), F.col("root").alias("unit"))
-    links = written(verified(text, candidate_pairs(texts)).select("a", "b"), "links")
-    entries = prefix_entries(texts, named(written(components(links), "units")))
+    links = written(verified(text, candidate_pairs(texts)), "links")
+    joined = lambda: components(links.select("a", "b"))
+    entries = prefix_entries(texts, named(written(joined(), "units")))
     stars = best_of_units(promising(star_pairs(entries), texts))
-    links = written(links.union(verified(text, stars).select("a", "b")), "links")
-    units = named(written(components(links), "units"))
+    links = written(links.union(verified(text, stars)), "links")
+    units = named(written(joined(), "units"))
     entries = shared_keys(entries.drop("unit", "blocks").join(units, "row", "left").withColumn("unit", F.coalesce("unit", -1 - F.col("row"))))
     pairs = written(promising(prefix_pairs(entries), texts).join(stars, ["a", "b"], "left_anti"), "prefix-pairs")
     best = best_of_units(pairs)
-    links = written(links.union(verified(text, best).select("a", "b")), "links")
-    roots = written(components(links), "roots")
+    links = written(links.union(verified(text, best)), "links")
+    roots = written(joined(), "roots")
     rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
     for end in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     rest = written(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
     if rest.isEmpty():
-        return roots
-    return written(components(links.union(verified(text, rest).select("a", "b"))), "roots")
+        return roots, links
+    links = written(links.union(verified(text, rest)), "links")
+    return written(joined(), "roots"), links
+
+
+def closest(links: DataFrame) -> DataFrame:
+    """(text_row, partner, similarity): of each linked text, the most similar text that a link was verified with; the smallest row of equals."""
+    both = links.select(F.explode(F.array(F.struct(F.col("a").alias("text_row"), F.col("b").alias("other")), F.struct(F.col("b").alias("text_row"), F.col("a").alias("other")))).alias("x"), "similarity")
+    best = both.groupBy("x.text_row").agg(F.max(F.struct("similarity", (-F.col("x.other")).alias("minus"))).alias("best"))
+    return best.select("text_row", (-F.col("best.minus")).alias("partner"), "best.similarity")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Classes of equal and near-equal documents: one row for each document with row, id, class_id, first.
+    """Classes of equal and near-equal documents: one row for each document with row, id, class_id, first, partner_id, similarity.
 
     Equal texts are of one class and count as one text.  Texts of similarity SIMILARITY or more are linked, and a class is what
     links connect; ``class_id`` is its smallest document id, and ``first`` marks the one document (smallest id, then row) that
     stands for the class.  A null, empty or blank text is a class of its own, and so is each repeated row of one.  Null ids sort
     first, and name a class only if no other id does.  An empty table gives no rows.
+
+    ``partner_id`` is a document that this one was found to be equal or linked to: the first of equal ones for all others of them
+    (similarity 1), else the text of the closest verified link; null for a class of one.  Partners join each class, copies through the first.
     """
-    docs = stable(docs)
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    read = numbered(stable(docs), id=F.col(id_col), text=F.col(text_col))
     table = written(sketch_table(read), "sketches")
     # of equal texts the one that stands for them all, and the smallest id
-    stands = written(table.where(F.col("n") > 0).groupBy("digest").agg(F.min("row").alias("text_row"), F.min(F.struct("id", "row")).alias("head"), F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "stands")
+    stands = written(table.where(F.col("n") > 0).groupBy("digest").agg(F.min("row").alias("text_row"), F.min(F.struct("id", "row")).alias("own"), F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "stands")
     texts = written(table.join(stands.select(F.col("text_row").alias("row")), "row", "left_semi").select("row", "n", "sketches", "prefix", "bits"), "texts")
-    roots = classes(read, texts)
+    roots, links = classes(read, texts)
     # only texts that are linked have a class other than their own
     linked = stands.join(roots.withColumnRenamed("node", "text_row"), "text_row")
-    heads = linked.groupBy("root").agg(F.min("head").alias("head"), F.min("class_id").alias("class_id"))
-    linked = linked.select("digest", "root").join(heads, "root").select("digest", "head", "class_id")
-    alone = stands.where("copies > 1").join(linked, "digest", "left_anti").select("digest", "head", "class_id")
+    heads = linked.groupBy("root").agg(F.min("own").alias("head"), F.min("class_id").alias("class_id"))
+    near = closest(links).join(stands.select(F.col("text_row").alias("partner"), F.col("own.id").alias("partner_id")), "partner").drop("partner")
+    linked = linked.select("digest", "root", "own", "text_row").join(heads, "root").join(near, "text_row", "left").select("digest", "head", "class_id", "own", "partner_id", "similarity")
+    alone = stands.where("copies > 1").join(linked, "digest", "left_anti")
+    alone = alone.select("digest", F.col("own").alias("head"), "class_id", "own", F.lit(None).cast(table.schema["id"].dataType).alias("partner_id"), F.lit(None).cast("double").alias("similarity"))
     named = written(linked.union(alone), "classes")  # of a known size, so that Spark may broadcast it or split what is skewed
     out = table.select("row", "id", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
     first = F.coalesce(F.col("head.row") == F.col("row"), F.lit(True))
-    return out.select("row", "id", F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), first.alias("first"))
+    copy = F.coalesce(F.col("own.row") != F.col("row"), F.lit(False))
+    return out.select(
+        "row", "id", F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), first.alias("first"),
+        F.when(copy, F.col("own.id")).otherwise(F.col("partner_id")).alias("partner_id"), F.when(copy, 1.0).otherwise(F.col("similarity")).alias("similarity"),
+    )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Documents without those that another of their class stands for, with all their columns."""
     docs = stable(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = numbered(docs, doc=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     others = near_duplicates(docs).where(~F.col("first")).select("row")
     return rows.join(others, "row", "left_anti").select("doc.*")
 
 
 def op2_order_minhash(spark, sf_dir: str) -> DataFrame:
+    """All documents with their classes; nulls, empty texts, repeats and empty tables as in ``near_duplicates``."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.col("id").alias("doc_id"), "class_id", F.col("first").alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", F.col("first").alias("kept"), "partner_id", "similarity")

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch; documents are long, and a task holds a batch or two at once.
@@ -49,18 +51,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a row's place in its file; the file's place among all files comes before them.
+PLACE_BITS = 36
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """``df`` if it is a scan of files with at most filters and projections, which numbers its rows alike each time it is read; else a written copy."""
+    """``df`` if its rows can be told by file and place (a scan of Parquet files with filters and projections that depend on the rows alone); else a written copy."""
     plan = df._jdf.queryExecution().optimizedPlan()
     nodes = [plan]
     for node in nodes:
         children = node.children()
         nodes += [children.apply(i) for i in range(children.size())]
-    if {node.nodeName() for node in nodes} <= {"LogicalRelation", "Project", "Filter"}:
+    if {node.nodeName() for node in nodes} <= {"LogicalRelation", "Project", "Filter"} and plan.deterministic():
+        try:
+            df.select(df.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018  (Parquet alone has it)
+        except AnalysisException:
+            return written(df, "rows")
         return df
     return written(df, "rows")
 
 
+def numbered(df: DataFrame, **columns: Column) -> DataFrame:
+    """(row, columns): rows of a ``stable`` table with a number that each scan gives alike, however the scan is split.
+
+    The number is the file's place among the paths of all files that hold rows, and the row's place in the file.  The driver holds the
+    paths, as it does for the scan itself.
+    """
+    meta = df.metadataColumn("_metadata")
+    paths = sorted(r.path for r in df.select(meta["file_path"].alias("path")).distinct().collect())
+    files = df.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _path string")
+    rows = df.select(meta["file_path"].alias("_path"), meta["row_index"].alias("_place"), *[c.alias(name) for name, c in columns.items()])
+    return rows.join(F.broadcast(files), "_path").select((F.shiftleft("_file", PLACE_BITS) + F.col("_place")).alias("row"), *columns)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and path of a URI or an absolute local path."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri[5:])

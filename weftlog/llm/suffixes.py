@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.llm.bitmap import bitmap_of, passes
-from weftlog.llm.storage import stable, written
+from weftlog.llm.storage import numbered, stable, written
 from weftlog.llm.text import SPACE, Words, mix, slices, sliding_minimum, span_hashes, spans, window_hashes, window_starts, words
 
 LENGTH, GRAM, SPARSE = 50, 5, 20
@@ -246,7 +246,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null, empty and short texts have no spans.  Repeated rows and ids are texts of their own, and a null id comes first.
     An empty table gives no rows, and only the two columns are read.
     """
-    read = stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    read = numbered(stable(docs), id=F.col(id_col), text=F.col(text_col))
     table = written(suffix_table(read), "suffixes")
     found = stretches(read, candidates(table)).withColumn("n", F.size("windows"))
     whole = compared(found, "stretches")
@@ -275,7 +275,7 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     Texts without duplicate passages stay as they are, byte for byte.
     """
     docs = stable(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = numbered(docs, doc=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     _, spans = repeats(docs)
     cuts = spans.where("duplicate").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("cuts"))  # of one text
     joined = rows.join(cuts, "row", "left")
