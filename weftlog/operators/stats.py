@@ -13,19 +13,17 @@ from weftlog.schema import OTHER, POD, SERVICE
 
 #: Buckets of a group's values, over which sums are carried.
 BUCKETS = 64
+#: The group of a table that is one group.
+ALL = "_all"
 #: Node types whose label is the type itself. Fixed values.
 TYPE_LABELS = {"DNSName": "dnsname", "ExternalEndpoint": "external", "KubeAPI": "kubeapi", "Workload": "workload"}
 
 
-def token_counts(tokens: DataFrame, column: str = "token") -> DataFrame:
-    return tokens.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-
-
 def top_vocabulary(values: DataFrame, value: str, order: str, size: int) -> DataFrame:
-    """(value, idx) of the ``size`` - 1 most frequent values from index 1 on; ties go to the one seen first. Index 0 is left for others."""
+    """(value, idx) of the ``size`` - 1 most frequent values from index 1 on; ties go to the one seen first, then to the smaller value. Index 0 is left for others."""
     counts = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
-    best = counts.orderBy(F.desc("n"), "seen").limit(max(size - 1, 0))  # size rows at most are numbered
-    return best.select(value, F.row_number().over(Window.orderBy(F.desc("n"), "seen")).alias("idx"))
+    best = counts.orderBy(F.desc("n"), "seen", value).limit(max(size - 1, 0))  # size rows at most are numbered
+    return best.select(value, F.row_number().over(Window.orderBy(F.desc("n"), "seen", value)).alias("idx"))
 
 
 def log_scalers(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -70,6 +68,7 @@ def distribution(df: DataFrame, group: str, value: str, weight: Column | None =
     """(group, value, n, below, total): weight of each distinct value, of all smaller ones, and of the group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.sum(F.lit(1) if weight is None else weight).cast("long").alias("n"))
     edges = counts.groupBy(group).agg(F.percentile_approx(value, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), 1000).alias("edges"))
+    edges = F.broadcast(edges) if group == ALL else edges  # one row; the optimizer knows that its key is constant and would pair all rows
     placed = counts.join(edges, group).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
     sums = placed.groupBy(group, "bucket").agg(F.sum("n").alias("s"))
     over = Window.partitionBy(group)
@@ -96,7 +95,7 @@ def midrank_normalised(scores: DataFrame, table: DataFrame, group: str, value: s
 
 def auc(df: DataFrame, value: str, positive: Column, group: str | None = None) -> DataFrame:
     """Chance that a positive's value is larger than a negative's, ties by half; null without both kinds. With n_pos and n_neg."""
-    key = group or "_all"
+    key = group or ALL
     rows = df.select(*([group] if group else [F.lit(0).alias(key)]), F.col(value), positive.alias("p")).where(F.col(value).isNotNull())
     negatives = distribution(rows, key, value, F.when(F.col("p"), 0).otherwise(1)).withColumnsRenamed({"n": "n_neg_here", "below": "neg_below", "total": "n_neg"})
     positives = rows.where("p").groupBy(key, value).agg(F.count(F.lit(1)).alias("n_here"))

@@ -37,7 +37,7 @@ def class_weights(spark, sf_dir):
 def topk_vocab(spark, sf_dir):
     """The 63 most frequent tokens, ties by the first document and token."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token")).where("token <> ''")
-    return stats.top_vocabulary(rows.withColumn("order", F.struct("doc_id", "token")), "token", "order", 64)
+    return stats.top_vocabulary(rows, "token", "doc_id", 64)
 
 
 @query("SELECT round(avg(ln(1 + l_extendedprice)), 6) AS l_extendedprice_mean, round(stddev_pop(ln(1 + l_extendedprice)), 6) AS l_extendedprice_dev, round(avg(ln(1 + l_quantity)), 6) AS l_quantity_mean, round(stddev_pop(ln(1 + l_quantity)), 6) AS l_quantity_dev FROM lineitem")
