@@ -299,8 +299,8 @@ def changing_splits(spark, monkeypatch):
 def many_files(write):
     rng = random.Random(8)
     shared = [words(rng, 90) for _ in range(6)]
-    texts = [" ".join(words(rng, 30) + shared[i % 6] + words(rng, 40)) if i % 3 == 0 else " ".join(words(rng, 120)) for i in range(160)]
-    texts += [" ".join(edited(rng, texts[i].split(), 1)) for i in range(40)]
+    texts = [" ".join(words(rng, 30) + shared[i % 6] + words(rng, 40)) if i % 3 == 0 else " ".join(words(rng, 120)) for i in range(60)]
+    texts += [" ".join(edited(rng, texts[i].split(), 1)) for i in range(20)]
     rows = list(enumerate(texts))
     return rows, write(rows, 12)
 
@@ -308,7 +308,7 @@ def many_files(write):
 def test_rows_are_known_when_splits_change(write, changing_splits):
     rows, docs = many_files(write)
     check_spans(docs)
-    assert check_classes(rows, docs) >= 80
+    assert check_classes(rows, docs) >= 40
     items = docs.sparkSession.createDataFrame([(1, " ".join(rows[3][1].split()[5:40]))], "item_id long, text string")
     hit = {i for i, t in rows if " ".join(rows[3][1].split()[5:40])[:60] in t}
     assert {i for i, _ in rows} - {r.doc_id for r in decontaminate.clean_documents(docs, items).collect()} >= {3} and hit >= {3}
@@ -319,7 +319,7 @@ def test_cutting_and_choosing_when_splits_change(write, changing_splits):
     kept = {r.doc_id: r.text for r in neardup.one_of_each(docs).collect()}
     assert all(kept[i] == dict(rows)[i] for i in kept) and len(kept) == len(set(expected_classes(rows).values())) + sum(t not in expected_classes(rows) for _, t in rows)
     cut = {r.doc_id: r.text for r in suffixes.without_duplicates(docs).collect()}
-    assert sum(cut[i] == t for i, t in rows if i in cut) >= 90 and all(set(cut[i].split()) <= set(t.split()) for i, t in rows if i in cut)
+    assert sum(cut[i] == t for i, t in rows if i in cut) >= 30 and all(set(cut[i].split()) <= set(t.split()) for i, t in rows if i in cut)
 
 
 def test_what_may_be_scanned_again(spark, corpus):
