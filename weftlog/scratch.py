@@ -59,3 +59,15 @@ def read_text(spark: SparkSession, uri: str) -> str:
         return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
     finally:
         stream.close()
+
+
+def moved(spark: SparkSession, pattern: str, target) -> int:
+    """Rename the files under a pattern; ``target`` gives a file's new path from its old one.  Returns how many there were."""
+    system, path = _file(spark, pattern)
+    found = [str(x.getPath()) for x in system.globStatus(path) or []]
+    for old in found:
+        new = _file(spark, target(old))[1]
+        system.mkdirs(new.getParent())
+        if not system.rename(_file(spark, old)[1], new):
+            raise OSError(f"cannot rename {old} to {new}")
+    return len(found)

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftlog.scratch import written
+
 
 def _read(spark: SparkSession, pattern: str, whole: bool) -> DataFrame | None:
     try:
@@ -34,13 +36,14 @@ def numbered_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(run_dir, file, lineno, line), with 1-based physical line numbers.
 
     Files are read in splits, so one large file is many tasks.  A line's number is its place in its split and the lines of
-    the splits before; both follow from the scan, whose splits are the same each time it runs.
+    the splits before.  The lines are written once with their splits and read from there, since another scan of the files
+    may be split otherwise (executors lost or gained).
     """
     below = name.count("/") + 1
     found = _read(spark, f"{root}/{name}", False)
     if found is None:
         return spark.createDataFrame([], "run_dir string, file string, lineno long, line string")
-    rows = found.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    rows = written(found.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")), "lines")
     blocks = rows.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
     starts = blocks.select("path", "block", (before - F.col("first") + 1).alias("shift"))
