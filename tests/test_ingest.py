@@ -89,6 +89,22 @@ def test_line_numbers_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
+def test_line_numbers_do_not_depend_on_later_splits(spark, tmp_path):
+    (tmp_path / "r" / "cilium").mkdir(parents=True)
+    (tmp_path / "r" / "cilium" / "flows.jsonl").write_text("".join(f"line {i}\n" for i in range(1, 5001)))
+    settings = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.minPartitionNum": "7"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = numbered_lines(spark, f"{tmp_path}/*", "cilium/flows.jsonl")
+        for name in settings:
+            spark.conf.set(name, "64") if name.endswith("Num") else spark.conf.set(name, "1024")
+        assert rows.where(F.col("line") == F.concat(F.lit("line "), "lineno")).count() == 5000
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 def test_missing_sources_are_empty(spark, tmp_path):
     (tmp_path / "only").mkdir()
     (tmp_path / "only" / "meta.json").write_text('{"benchmark": "b", "request": "r", "run_id": "1", "run_status": 0}')

@@ -218,13 +218,3 @@ def conversation_capped(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))).where("nth <= 2")
     kept = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return kept.select("conv_id", "turns", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("joined"))
-
-
-@query()
-def event_feature_vectors(spark, sf_dir):
-    """269-wide event vectors as sparse entries (X28); tested against hand-computed places."""
-    from weftlog.operators import memory
-
-    nodes = memory.event_nodes(memory.cap_events(placed(spark, sf_dir), 1000), 7_200_000_000)
-    entries = encoding.event_entries(encoding.FeatureSpec(), F.col("order"), F.col("rel_time"))
-    return nodes.select("run_id", "pos", "event_id", F.transform(F.array_sort(entries), lambda e: F.struct(e["i"].alias("i"), F.round(e["v"], 6).alias("v"))).alias("x"))
