@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftlog.functions import net
 from weftlog.operators.splits import run_order
 from weftlog.schema import DNSNAME, ENTITIES, EVENTS, EXTERNAL, INTERNAL, KUBEAPI, KUBEAPI_ID, POD, SERVICE, conform
+from weftlog.scratch import written
 from weftlog.sources import access, audit, flows, snapshot
 from weftlog.sources.files import documents, numbered_lines
 
@@ -37,6 +38,7 @@ def ingest(spark: SparkSession, root: str, benchmarks: list[str] | None = None,
     api = audit.api_events(lines(AUDIT), addresses, drop_control_plane)
 
     every = calls.withColumn("complete", F.lit(True)).unionByName(streams, allowMissingColumns=True).unionByName(api, allowMissingColumns=True)
+    every = written(every, "parsed")  # events and entities both need it, and logs are dear to parse
     # ties in time follow the order of ingest: only events of equal time are numbered together
     ties = Window.partitionBy("run_id", "ts_us").orderBy("order")
     events = every.where("complete").withColumn("ord", F.row_number().over(ties).cast("long"))
