@@ -15,7 +15,7 @@ DEFAULTS: dict[str, Any] = {
     "windows": {"width_s": 30, "stride_s": 15, "min_tail_s": 15, "memory": 5},
     "events": {"l4_keep": ["non_forwarded", "syn_no_ack", "udp_first"], "drop_control_plane_audit": True},
     "sentences": {"max_tokens": 256, "max_repeats_per_signature": 3, "strip_verdict_tokens": False},
-    "w2v": {"dim": 64, "window": 5, "min_count": 2, "epochs": 15},
+    "w2v": {"dim": 64, "window": 5, "min_count": 2, "epochs": 15, "negatives": 0},
     "graph": {"include_workload_nodes": False, "reverse_edges": True, "flow_memory": 20, "max_events_per_window": 1000},
     "features": {"time_enc_dim": 16, "path_vocab": 64, "dns_vocab": 32, "api_resource_vocab": 32},
     "model": {"objective": "flash_cls", "hops": 2},

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weftlog.config import get
 from weftlog.functions.encoding import SCALED, FeatureSpec, entity_features, event_features
 from weftlog.functions.tokens import dns_token, template_path
-from weftlog.operators import alerts, boosting, graphs, links, losses, memory, messages, models, sentences, stats, training, windows
+from weftlog.operators import alerts, boosting, graphs, links, losses, memory, messages, models, skipgram, sentences, stats, training, windows
 from weftlog.schema import API, DNS, RPC, SCORES, conform
 from weftlog.scratch import fresh, read_text, write_text, written
 from weftlog.sources.runs import load
@@ -156,7 +156,10 @@ class WindowDetector(Detector):
     def _fit(self, events: DataFrame, entities: DataFrame, val_events: DataFrame, val_entities: DataFrame) -> None:
         c, seed = self.config, int(get(self.config, "seed"))
         said = written(self._sentences(written(self._placed(events), "placed"), c, None), "sentences")
-        self.tables["vectors"] = written(models.token_vectors(said, int(get(c, "w2v.dim")), int(get(c, "w2v.window")), int(get(c, "w2v.epochs")), int(get(c, "w2v.min_count")), seed), "vectors")
+        size, window, epochs, least = (int(get(c, f"w2v.{x}")) for x in ("dim", "window", "epochs", "min_count"))
+        drawn = int(get(c, "w2v.negatives"))
+        vectors = skipgram.train(said, size, window, epochs, drawn, least, seed) if drawn else models.token_vectors(said, size, window, epochs, least, seed)
+        self.tables["vectors"] = written(vectors, "vectors")
         nodes, val_nodes = self._nodes(events, entities, c, None), self._nodes(val_events, val_entities, c, None)
         self.models = {"gnn": models.role_regression(nodes, list(self.ALL), int(get(c, "train.max_iter")), float(get(c, "train.reg")))}
         for source, columns in self.COLUMNS.items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftlog.operators import graphs, models, sentences, stats
+from weftlog.operators import graphs, models, sentences, skipgram, stats
 from weftlog.plans.registry import placed, query
 from weftlog.plans.testdata import entities, telemetry
 from weftlog.scratch import written
@@ -22,6 +22,13 @@ def w2v_embed(spark, sf_dir):
     return _encoded(spark, sf_dir).select("run_id", "w_idx", "entity_id", F.transform("x", lambda v: F.round(v, 4)).alias("x"))
 
 
+@query()
+def skipgram_vectors(spark, sf_dir):
+    """Vectors of all sentences' tokens by negative sampling (M01); tests/test_skipgram.py checks its steps and neighbours."""
+    said = written(sentences.sentences(placed(spark, sf_dir)), "sentences")
+    return skipgram.train(said, size=16, epochs=1).select("token", F.transform("vector", lambda v: F.round(v, 6)).alias("vector"))
+
+
 @query()
 def role_scores(spark, sf_dir):
     """Role scores of nodes from vectors propagated over window graphs."""
