@@ -105,6 +105,11 @@ def test_line_numbers_do_not_depend_on_later_splits(spark, tmp_path):
             spark.conf.unset(name)
 
 
+def test_ingest_by_byte_ranges_gives_the_same_tables(spark, run_root):
+    for plain, pruned in zip(runs.ingest(spark, f"{run_root}/*", ["boutique"]), runs.ingest(spark, f"{run_root}/*", ["boutique"], pruned=True), strict=True):
+        assert plain.count() > 0 and sorted(map(repr, plain.collect())) == sorted(map(repr, pruned.collect()))
+
+
 def test_missing_sources_are_empty(spark, tmp_path):
     (tmp_path / "only").mkdir()
     (tmp_path / "only" / "meta.json").write_text('{"benchmark": "b", "request": "r", "run_id": "1", "run_status": 0}')

@@ -10,12 +10,15 @@ from weftlog.plans.registry import query, table
 from weftlog.scratch import fresh, moved, written
 from weftlog.sources import runs
 from weftlog.sources.files import numbered_lines
+from weftlog.sources.ranges import ranged_lines
 
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 #: Pods 0 to 7 call, pods 8 to 15 are called; a later snapshot gives the last one's address to another pod.
 PODS, CALLERS = 16, 8
 #: Directories that hold copies and are not read: an unfinished run, and one of another benchmark.
 UNFINISHED, FOREIGN = 1, 2
+#: Bytes of a range in ``pruned_run_lines``: no multiple of a line's length, so that ranges cut lines.
+_SPLIT = 1_000_003
 FILES = {"logs": runs.LOGS, "flows": runs.FLOWS, "audit": runs.AUDIT}
 
 
@@ -199,3 +202,23 @@ def log_line_numbers(spark, sf_dir):
     rows = lines.withColumn("k", number.try_cast("long")).where("k IS NOT NULL")
     file = F.concat(F.substring_index("run_dir", "/", -1), F.lit("/"), "file")
     return rows.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max("lineno").alias("last"), F.sum(F.col("lineno") * (F.col("k") % 101)).alias("mixed"))
+
+
+@query(
+    _LINES
+    + """, v AS (SELECT y, file, lineno, CASE WHEN place = 1 THEN k % 101 END AS v FROM logs UNION ALL SELECT y, file, lineno, CASE WHEN place = 1 AND k % 9 > 0 AND k % 17 > 0 THEN k % 1000 END FROM flows UNION ALL SELECT y, file, lineno, 200 + k % 3 FROM audits)
+    SELECT y || '/' || file AS file, count(*) AS n, max(lineno) AS last, coalesce(sum(lineno * v), 0)::BIGINT AS mixed FROM v GROUP BY ALL"""
+)
+def pruned_run_lines(spark, sf_dir):
+    """Lines of logs, flows and audit records of the finished runs of one benchmark, read by byte ranges that cut lines; other runs' files are not opened."""
+    root = write_runs(spark, sf_dir)
+    dirs = [r.run_dir for r in runs.run_catalogue(spark, root, ["shop"]).collect()]
+    number = F.regexp_extract("line", r'(?:"request_id":"|" "|"curl/8" ")r(\d+)"', 1).try_cast("long") % 101
+    port = F.coalesce(*[F.get_json_object("line", path) for path in ("$.flow.l4.TCP.destination_port", "$.l4.TCP.destination_port")])
+    values = {runs.LOGS: number, runs.FLOWS: port, runs.AUDIT: F.get_json_object("line", "$.responseStatus.code")}
+    every = None
+    for name, value in values.items():
+        rows = ranged_lines(spark, root, name, dirs, _SPLIT).select("run_dir", "file", "lineno", value.cast("long").alias("v"))
+        every = rows if every is None else every.unionByName(rows)
+    file = F.concat(F.substring_index("run_dir", "/", -1), F.lit("/"), "file")
+    return every.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max("lineno").alias("last"), F.coalesce(F.sum(F.col("lineno") * F.col("v")), F.lit(0)).alias("mixed"))

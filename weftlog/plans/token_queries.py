@@ -196,10 +196,18 @@ def slot_encode(spark, sf_dir):
     return placed(spark, sf_dir).select("event_id", "pos", encoding.slot(F.col("verdict"), encoding.VERDICTS).alias("slot"))
 
 
-@query("SELECT p, i, round(CASE WHEN i % 2 = 0 THEN sin(p / pow(10000.0, 2 * (i // 2) / 16.0)) ELSE cos(p / pow(10000.0, 2 * (i // 2) / 16.0)) END, 6) + 0.0 AS v FROM (SELECT unnest(range(40)) AS p), (SELECT unnest(range(16)) AS i)")
+_ANGLE = "p / pow(10000.0, 2 * (i // 2) / 16.0)"
+
+
+@query(
+    WIN
+    + f""", places AS (SELECT DISTINCT pos AS p FROM win), v AS (SELECT p, i, CASE WHEN i % 2 = 0 THEN sin({_ANGLE}) ELSE cos({_ANGLE}) END AS v FROM places, (SELECT unnest(range(16)) AS i))
+    SELECT p, i, round(v, 6) + 0.0 AS v FROM v"""
+)
 def positional_encoding(spark, sf_dir):
-    """Sines and cosines of a position."""
-    rows = spark.range(40).select(F.col("id").alias("p"), F.posexplode(encoding.positional_encoding(F.col("id"), 16)).alias("i", "v"))
+    """Sines and cosines of the positions of windows."""
+    places = placed(spark, sf_dir).select(F.col("pos").cast("long").alias("p")).distinct()
+    rows = places.select("p", F.posexplode(encoding.positional_encoding(F.col("p"), 16)).alias("i", "v"))
     return rows.select("p", F.col("i").cast("long").alias("i"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 

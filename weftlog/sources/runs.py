@@ -11,6 +11,7 @@ from weftlog.schema import DNSNAME, ENTITIES, EVENTS, EXTERNAL, INTERNAL, KUBEAP
 from weftlog.scratch import written
 from weftlog.sources import access, audit, flows, snapshot
 from weftlog.sources.files import documents, numbered_lines
+from weftlog.sources.ranges import ranged_lines
 
 _META = "benchmark string, request string, run_id string, run_status int"
 LOGS, FLOWS, AUDIT = "istio/access_logs/*.log", "cilium/flows.jsonl", "audit/audit.jsonl"
@@ -25,12 +26,20 @@ def run_catalogue(spark: SparkSession, root: str, benchmarks: list[str] | None =
     return kept.select("run_dir", F.concat(F.col("benchmark"), F.lit("-"), F.col("request"), F.lit("_"), F.col("run_id")).alias("run_id"), "benchmark")
 
 
-def ingest(spark: SparkSession, root: str, benchmarks: list[str] | None = None, rules: tuple[str, ...] = flows.RULES, drop_control_plane: bool = True, namespace: str = "default") -> tuple[DataFrame, DataFrame]:
-    """(events, entities) of all runs under ``root``, as one job over all of them."""
+def ingest(
+    spark: SparkSession, root: str, benchmarks: list[str] | None = None, rules: tuple[str, ...] = flows.RULES, drop_control_plane: bool = True, namespace: str = "default", pruned: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(events, entities) of all runs under ``root``, as one job over all of them.
+
+    With ``pruned``, logs are read by byte ranges (``ranges.ranged_lines``), and those of other runs are never opened; the driver
+    then holds the paths of the run directories.
+    """
     runs = run_catalogue(spark, root, benchmarks).select("run_dir", "run_id")
     objects = snapshot.objects(spark, root).join(runs, "run_dir")
     addresses = snapshot.address_table(objects, snapshot.node_addresses(spark, root).join(runs, "run_dir"))
-    lines = lambda name: numbered_lines(spark, root, name).join(runs, "run_dir")
+    dirs = [r.run_dir for r in runs.select("run_dir").collect()] if pruned else None
+    read = lambda name: ranged_lines(spark, root, name, dirs) if pruned else numbered_lines(spark, root, name)
+    lines = lambda name: read(name).join(runs, "run_dir")
     stem = F.regexp_extract("file", r"([^/]+)\.log$", 1)
     logs = lines(LOGS).withColumn("pod", F.concat(F.lit(f"pod:{namespace}/"), stem))
     calls = access.rpc_events(logs, addresses)
