@@ -120,3 +120,20 @@ def test_missing_sources_are_empty(spark, tmp_path):
 def test_no_endpoint_among_what_tokens_may_see():
     assert not {c for c in BEHAVIOUR if c.endswith("_id") or c in ("src_type", "dst_type")}
     assert set(BEHAVIOUR) <= {f.name for f in EVENTS}
+
+
+def test_paired_view_with_large_part_numbers(spark, tmp_path):
+    """Numbers of parts that run into the item's number, as in larger tables, leave the order of items alone."""
+    import duckdb
+
+    from weftlog.plans import catalog
+
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT * REPLACE ((l_partkey * 7919 + l_linenumber * 104729) % 200000 AS l_partkey) FROM '/root/testdata/sf0.001/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    duck.execute(f"COPY (FROM '/root/testdata/sf0.001/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    for name in ("lineitem", "orders"):
+        duck.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet'")
+    found = duck.execute(catalog.ORACLES["access_log_events"])
+    order = [d[0] for d in found.description]
+    rows = catalog.QUERIES["access_log_events"](spark, str(tmp_path)).select(*order).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(found.fetchall(), key=repr)

@@ -26,41 +26,55 @@ _GROUPS = [x for n, _ in TEXT_LAYOUT if n for x in ((n,) if isinstance(n, str) e
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """(run_id, pod, file, lineno, rec, ts_us) of lines that are JSON with a start and a method, or of the text layout."""
+    """The lines with rec and ts_us, of those that are JSON with a start and a method, or of the text layout.
+
+    A text line is matched once: its groups come back one a line, and no line holds an end of line.  The record is generated, so that
+    the filters on it and all who use it do not parse again.
+    """
     json = F.from_json("line", ", ".join(f"{f} string" for f in FIELDS))
-    text = F.struct(*[(F.regexp_extract("line", TEXT_PATTERN, _GROUPS.index(f) + 1) if f in _GROUPS else F.lit(None).cast("string")).alias(f) for f in FIELDS])
-    rec = F.when(F.col("line").startswith("{"), json).when(F.col("line").rlike(TEXT_PATTERN), text)
-    out = lines.withColumn("rec", rec).withColumn("ts_us", net.epoch_us(F.col("rec.start_time")))
-    return out.where(F.col("ts_us").isNotNull() & F.col("rec.method").isNotNull())
+    parts = F.split(F.regexp_replace("line", f"(?s){TEXT_PATTERN}.*$", "\n".join(f"${i + 1}" for i in range(len(_GROUPS)))), "\n", -1)
+    part = lambda f: F.get("parts", F.lit(_GROUPS.index(f))) if f in _GROUPS else F.lit(None).cast("string")
+    found = lines.select("*", F.explode(F.array(F.when(~F.col("line").startswith("{"), parts))).alias("parts"))
+    text = F.when(F.size("parts") == len(_GROUPS), F.struct(*[part(f).alias(f) for f in FIELDS]))
+    out = found.select(*lines.columns, F.explode(F.array(F.when(F.col("parts").isNull(), json).otherwise(text))).alias("rec"))
+    return out.withColumn("ts_us", net.epoch_us(F.col("rec.start_time"))).where(F.col("ts_us").isNotNull() & F.col("rec.method").isNotNull())
 
 
 def merged_views(views: DataFrame, payload: list[str], order: str = "seen") -> DataFrame:
-    """(run_id, request_id, outbound, inbound, reporter_views): views of requests, paired.
+    """(run_id, request_id, outbound, inbound, turn, reporter_views): views of requests, paired.
 
     The first outbound and the first inbound view of a request id are one request; any other view, also one without id or of
-    unknown direction, is a request of its own and stands in ``outbound`` unless it came in.
+    unknown direction, is a request of its own and stands in ``outbound`` unless it came in.  Views of one id meet by one shuffle and
+    one sort; a view that cannot be paired is spread by its order.
     """
-    by = Window.partitionBy("run_id", "request_id", "direction").orderBy(order)
-    named = views.where((F.col("request_id") != "") & F.col("direction").isin("outbound", "inbound")).withColumn("nth", F.row_number().over(by))
-    plain = views.where(~F.coalesce((F.col("request_id") != "") & F.col("direction").isin("outbound", "inbound"), F.lit(False)))
+    c = F.col
+    named = F.coalesce((c("request_id") != "") & c("direction").isin("outbound", "inbound"), F.lit(False))
+    keys = ["run_id", "_named", "request_id", "_apart"]
     body = F.struct("direction", order, *payload)
-    side = lambda d: named.where((F.col("nth") == 1) & (F.col("direction") == d)).select("run_id", "request_id", body.alias(d))
-    pairs = side("outbound").join(side("inbound"), ["run_id", "request_id"], "full_outer")
-    rest = named.where("nth > 1").drop("nth").unionByName(plain)
-    came = F.col("direction") == "inbound"
-    alone = rest.select("run_id", "request_id", F.when(~came, body).alias("outbound"), F.when(came, body).alias("inbound"), F.lit(2).alias("turn"))
-    both = pairs.withColumn("turn", F.when(F.col("outbound").isNull(), 1).otherwise(0)).unionByName(alone)
-    count = F.when(F.col("outbound").isNotNull(), 1).otherwise(0) + F.when(F.col("inbound").isNotNull(), 1).otherwise(0)
+    rows = views.select("run_id", "request_id", "direction", named.alias("_named"), F.when(~named, F.xxhash64(order)).alias("_apart"), body.alias("body"))
+    # inbound views come before outbound ones
+    one = Window.partitionBy(*keys).orderBy("direction", f"body.{order}")
+    came, out = c("direction") == "inbound", c("direction") == "outbound"
+    rows = rows.withColumns({"_met": F.first(F.when(came, c("body")), ignorenulls=True).over(one), "_has_out": F.max(out).over(Window.partitionBy(*keys))})
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "direction").orderBy(f"body.{order}")))
+    first = c("_named") & (c("_nth") == 1)
+    rows = rows.where(~(first & came & c("_has_out")))  # it stands in the row of its outbound view
+    inbound = F.when(first & out, c("_met")).when(came, c("body"))
+    both = rows.select("run_id", "request_id", F.when(~came, c("body")).alias("outbound"), inbound.alias("inbound"), F.when(~first, 2).when(came, 1).otherwise(0).alias("turn"))
+    count = F.when(c("outbound").isNotNull(), 1).otherwise(0) + F.when(c("inbound").isNotNull(), 1).otherwise(0)
     return both.withColumn("reporter_views", count)
 
 
-def rpc_events(lines: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Events of (run_id, pod, file, lineno, line): ``pod`` is the reporting pod's id. A pair goes from pod to pod, with what the server saw."""
+def rpc_events(lines: DataFrame, addresses: DataFrame, first_by: tuple[str, ...] = ("file", "lineno")) -> DataFrame:
+    """Events of (run_id, pod, file, lineno, line): ``pod`` is the reporting pod's id. A pair goes from pod to pod, with what the server saw.
+
+    Of views that share a request id and a direction, that which is smallest by the columns ``first_by`` of ``lines`` is paired.
+    """
     views = parsed(lines).select(
-        "run_id", net.present(F.col("rec.request_id")).alias("request_id"), net.upstream_direction(F.col("rec.upstream_cluster")).alias("direction"), F.struct("file", "lineno").alias("seen"), "pod", "rec", "ts_us",
+        "run_id", net.present(F.col("rec.request_id")).alias("request_id"), net.upstream_direction(F.col("rec.upstream_cluster")).alias("direction"), F.struct(*first_by).alias("nth"), F.struct("file", "lineno").alias("seen"), "pod", "rec", "ts_us",
         net.service_id(net.upstream_service(F.col("rec.upstream_cluster"))).alias("service"), net.host_of(F.col("rec.downstream_remote_address")).alias("ip"),
     )
-    merged = merged_views(views, ["pod", "rec", "ts_us", "service", "ip"])
+    merged = merged_views(views, ["seen", "pod", "rec", "ts_us", "service", "ip"], "nth")
     merged = resolve_ip(merged.withColumn("ip", F.col("inbound.ip")), addresses, "ip", "from")
     c, seen = F.col, F.coalesce("inbound", "outbound")
     out, came = c("outbound").isNotNull(), c("inbound").isNotNull()
