@@ -73,3 +73,18 @@ def test_no_files_give_no_rows(spark, tmp_path):
 def test_numbers_are_dense(spark, logs):
     rows = ranged_lines(spark, f"{logs}/*", runs.LOGS, split=4001).groupBy("run_dir", "file").agg(F.countDistinct("lineno").alias("n"), F.max("lineno").alias("last"))
     assert {(r.n, r.last) for r in rows.collect()} == {(500, 500)}
+
+
+def test_run_files_of_several_ranges(spark, monkeypatch):
+    """Files of runs that several tasks sort and write have their lines once and in order."""
+    import duckdb
+
+    from weftlog.plans import catalog, run_queries
+
+    monkeypatch.setattr(run_queries, "LINES", 200)
+    duck = duckdb.connect()
+    duck.execute("CREATE VIEW orders AS FROM '/root/testdata/sf0.001/orders.parquet'")
+    found = duck.execute(catalog.ORACLES["pruned_run_lines"])
+    order = [d[0] for d in found.description]
+    rows = catalog.QUERIES["pruned_run_lines"](spark, "/root/testdata/sf0.001").select(*order).collect()
+    assert sorted(map(tuple, rows)) == sorted(found.fetchall())

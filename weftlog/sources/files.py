@@ -47,7 +47,7 @@ def numbered_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
     blocks = rows.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
     starts = blocks.select("path", "block", (before - F.col("first") + 1).alias("shift"))
-    out = rows.join(starts, ["path", "block"])
+    out = rows.join(F.broadcast(starts), ["path", "block"])  # a row for each split of a file
     return out.select(
         run_dir_of(F.col("path"), below).alias("run_dir"), F.regexp_extract("path", "((/[^/]+){%d})$" % below, 1).alias("file"), (F.col("id") + F.col("shift")).alias("lineno"), F.trim(F.regexp_replace("value", r"\r$", "")).alias("line")
     ).withColumn("file", F.substr("file", F.lit(2)))

@@ -68,6 +68,25 @@ def _tree(pattern: str) -> tuple[pafs.FileSystem, str, str]:
     return system, f"{url.scheme}://{'' if path.startswith(url.netloc) else url.netloc}", path
 
 
+def joined(spark: SparkSession, files: list[tuple[str, list[str]]]) -> None:
+    """Write each file as the bytes of its parts, in order; a task copies one file, a chunk at a time."""
+
+    def copy(batches):
+        for batch in batches:
+            for to, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, _, path = _tree(to)
+                system.create_dir(posixpath.dirname(path), recursive=True)
+                with system.open_output_stream(path) as out:
+                    for part in parts:
+                        with system.open_input_stream(_tree(part)[2]) as stream:
+                            while chunk := stream.read(CHUNK):
+                                out.write(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.createDataFrame(files, "to string, parts array<string>").repartition(len(files))
+    rows.mapInArrow(copy, "n long").agg(F.sum("n")).collect()
+
+
 def matches(system: pafs.FileSystem, path: str) -> Iterator[pafs.FileInfo]:
     """What lies under a pattern with ``*``, level by level; names without ``*`` are not listed."""
     parts = path.split("/")
@@ -167,7 +186,7 @@ def ranged_lines(spark: SparkSession, root: str, name: str, dirs: list[str] | No
     """(run_dir, file, lineno, line) as ``files.numbered_lines`` gives them, of some run directories or of all.
 
     Each byte of a log is read once, by the task of its range: the lines are written with their place in it, and their numbers
-    follow from how many lines the ranges before have.  Files of other runs are neither listed nor opened.
+    follow from how many lines the ranges before have, a row for each range.  Files of other runs are neither listed nor opened.
     """
     spark.dataSource.register(RunLogs)
     setting = "spark.sql.python.filterPushdown.enabled"
@@ -181,4 +200,4 @@ def ranged_lines(spark: SparkSession, root: str, name: str, dirs: list[str] | No
     place = ["run_dir", "file", "block"]
     blocks = rows.groupBy(*place).agg(F.max("nth").alias("n"))
     before = F.sum("n").over(Window.partitionBy("run_dir", "file").orderBy("block")) - F.col("n")
-    return rows.join(blocks.select(*place, before.alias("before")), place).select("run_dir", "file", (F.col("before") + F.col("nth")).alias("lineno"), F.trim("line").alias("line"))
+    return rows.join(F.broadcast(blocks.select(*place, before.alias("before"))), place).select("run_dir", "file", (F.col("before") + F.col("nth")).alias("lineno"), F.trim("line").alias("line"))
