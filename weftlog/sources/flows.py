@@ -34,7 +34,8 @@ def keep(verdict: Column, proto: Column, syn: Column, ack: Column, is_reply: Col
 def parsed(lines: DataFrame) -> DataFrame:
     """(run_id, file, lineno, f, ts_us) of JSON lines with a time, wrapped in ``flow`` or bare."""
     inner, outer = (", ".join(f"{n}{sep} {t}" for n, t in FIELDS.items()) for sep in (":", ""))
-    out = lines.withColumn("o", F.from_json("line", f"flow struct<{inner}>, {outer}"))
+    # generated, so that the filters on a record and all who use it do not parse again
+    out = lines.select("*", F.explode(F.array(F.from_json("line", f"flow struct<{inner}>, {outer}"))).alias("o"))
     wrapped = F.col("o.flow").isNotNull()
     f = F.struct(*[F.when(wrapped, F.col(f"o.flow.{x}")).otherwise(F.col(f"o.{x}")).alias(x) for x in FIELDS])
     return out.withColumn("f", f).withColumn("ts_us", net.epoch_us(F.col("f.time"))).where(F.col("ts_us").isNotNull()).drop("o", "line")

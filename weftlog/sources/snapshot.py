@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlog.functions import net
 from weftlog.schema import EXTERNAL, POD, SERVICE
+from weftlog.scratch import written
 from weftlog.sources.files import documents
 
 _OBJECTS = (
@@ -62,9 +63,12 @@ def snapshot_entities(objects_: DataFrame) -> DataFrame:
 
 
 def first_by_rank(addresses: DataFrame) -> DataFrame:
-    """(run_id, ip, entity_id, entity_type): the entry of smallest rank for each address."""
+    """(run_id, ip, entity_id, entity_type): the entry of smallest rank for each address.
+
+    Written, so that its true size tells the planner that events need no shuffle to meet it; by address they would lie in few tasks.
+    """
     best = addresses.groupBy("run_id", "ip").agg(F.min_by(F.struct("entity_id", "entity_type"), "rank").alias("e"))
-    return best.select("run_id", "ip", "e.*")
+    return written(best.select("run_id", "ip", "e.*"), "addresses")
 
 
 def address_table(objects_: DataFrame, nodes: DataFrame) -> DataFrame:
