@@ -206,3 +206,41 @@ def test_config():
     assert config.get(config.view(config.load()), "windows.width_s") == 30
     with pytest.raises(ValueError, match="key=value"):
         config.load(None, ["oops"])
+
+
+def test_shuffle_partitions_grow_with_a_table(spark, tmp_path, monkeypatch):
+    from weftlog import scratch
+
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(scratch, "BYTES", 500)
+    try:
+        scratch.roomy(spark, f"{tmp_path}/t")
+        grown = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        monkeypatch.setattr(scratch, "BYTES", 1 << 30)
+        scratch.roomy(spark, f"{tmp_path}/t")
+        assert grown > int(was) and int(spark.conf.get("spark.sql.shuffle.partitions")) == grown
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_cap_over_several_slots(spark, monkeypatch):
+    """Slots of time are ordered apart, and the same events are kept."""
+    from weftlog.operators import memory
+
+    rows = [("r", 0, i * 7 % 101 * 1_000_000, 0, i, "RPC_CALL", None) for i in range(101)]
+    placed = spark.createDataFrame(rows, "run_id string, pos long, ts_us long, t0_us long, ord long, event_type string, verdict string")
+    kept = lambda: sorted(r.ts_us for r in memory.cap_events(placed, 11).collect())
+    monkeypatch.setattr(memory, "SLOT", 9_000_000)
+    assert kept() == [i * 10_000_000 for i in range(11)]
+
+
+def test_vectors_looked_up_by_destination(spark):
+    """Means of neighbours are the same where features hold only the number of a vector."""
+    from weftlog.operators import graphs
+
+    edges = spark.createDataFrame([("r", "a", "c"), ("r", "b", "c"), ("r", "a", "b")], "run_id string, src string, dst string")
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 6.0])], "vec_id long, x array<double>")
+    nodes = spark.createDataFrame([("r", "a", 1), ("r", "b", 2)], "run_id string, entity_id string, vec_id long")
+    out = graphs.neighbour_mean(edges, nodes, ["run_id"], vectors=vectors)
+    assert {r.entity_id: r.x for r in out.collect()} == {"c": [2.0, 4.0], "b": [1.0, 2.0]}

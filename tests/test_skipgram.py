@@ -65,3 +65,10 @@ def test_too_many_tokens_and_none(spark, corpus, monkeypatch):
     monkeypatch.setattr(skipgram, "MOST_BYTES", 100)
     with pytest.raises(ValueError, match="exceed"):
         skipgram.train(corpus, size=8)
+
+
+def test_pairs_of_several_sentences_stay_in_their_own():
+    ids, starts = np.arange(9), np.array([0, 3, 3, 4])
+    centre, context = skipgram.pairs(ids, 4, np.random.default_rng(2), starts)
+    part = lambda x: np.searchsorted(starts, x, "right")
+    assert len(centre) and (part(centre) == part(context)).all() and (centre != context).all() and (np.diff(part(centre)) >= 0).all()
