@@ -137,3 +137,39 @@ def test_paired_view_with_large_part_numbers(spark, tmp_path):
     order = [d[0] for d in found.description]
     rows = catalog.QUERIES["access_log_events"](spark, str(tmp_path)).select(*order).collect()
     assert sorted(map(tuple, rows), key=repr) == sorted(found.fetchall(), key=repr)
+
+
+def optimized(rows) -> str:
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paths_are_read_by_split_and_not_by_line(spark, run_root):
+    rows = numbered_lines(spark, f"{run_root}/*", runs.LOGS)
+    assert "regexp" not in optimized(rows)
+    own = runs.run_catalogue(spark, f"{run_root}/*", ["boutique"]).select("run_dir", "run_id")
+    kept = numbered_lines(spark, f"{run_root}/*", runs.LOGS, own)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, rows.join(own, "run_dir").select(*kept.columns).collect()))
+    assert kept.select("run_id").distinct().count() == 3  # the unfinished run is left out
+
+
+def test_audit_records_are_parsed_once(spark):
+    from weftlog.sources import audit
+
+    lines = spark.range(1).selectExpr("'r' AS run_id", "'a' AS file", "id AS lineno", "cast(id AS string) AS line")
+    addresses = spark.createDataFrame([], "run_id string, ip string, entity_id string, entity_type string")
+    assert optimized(audit.api_events(lines, addresses)).count("from_json(") == 1
+
+
+def test_views_meet_in_one_window(spark):
+    from weftlog.sources import access
+
+    views = spark.createDataFrame([("r", "a", "inbound", 1), ("r", "a", "inbound", 2), ("r", "a", "outbound", 3), ("r", "a", "outbound", 4), ("r", "b", "inbound", 5), ("r", None, "inbound", 6), ("r", "c", "unknown", 7)], "run_id string, request_id string, direction string, seen int")
+    rows = access.merged_views(views, [])
+    assert optimized(rows).count("Window [") == 1
+    found = {(r.outbound and r.outbound.seen, r.inbound and r.inbound.seen, r.turn, r.reporter_views) for r in rows.collect()}
+    assert found == {(3, 1, 0, 2), (None, 2, 2, 1), (4, None, 2, 1), (None, 5, 1, 1), (None, 6, 2, 1), (7, None, 2, 1)}
+
+
+def test_entities_without_events_are_the_same(spark, run_root):
+    both, alone = runs.ingest(spark, f"{run_root}/*", ["boutique"])[1], runs.ingest_entities(spark, f"{run_root}/*", ["boutique"])
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, alone.collect()))

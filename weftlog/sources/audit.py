@@ -17,7 +17,8 @@ _RECORD = (
 def api_events(lines: DataFrame, addresses: DataFrame, drop_control_plane: bool = True) -> DataFrame:
     """Events of (run_id, file, lineno, line). ``complete`` tells those to keep: the source resolves, and to a pod if the control plane's calls are dropped."""
     c = F.col
-    rows = lines.withColumn("a", F.from_json("line", _RECORD))
+    # generated, so that the filter on a record does not parse it again
+    rows = lines.select("*", F.explode(F.array(F.from_json("line", _RECORD))).alias("a")).drop("line")
     rows = rows.withColumn("ts_us", net.epoch_us(F.coalesce(net.present(c("a.requestReceivedTimestamp")), c("a.stageTimestamp")))).where("ts_us IS NOT NULL")
     rows = resolve_ip(rows.withColumn("ip", F.get(c("a.sourceIPs"), 0)), addresses, "ip", "src")
     out = rows.select(

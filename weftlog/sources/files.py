@@ -32,22 +32,26 @@ def documents(spark: SparkSession, root: str, name: str) -> DataFrame:
     return found.select(run_dir_of(F.col("_metadata.file_path"), below).alias("run_dir"), F.col("value").alias("text"))
 
 
-def numbered_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """(run_dir, file, lineno, line), with 1-based physical line numbers.
+def numbered_lines(spark: SparkSession, root: str, name: str, runs: DataFrame | None = None) -> DataFrame:
+    """(run_dir, file, lineno, line), with 1-based physical line numbers; with ``runs`` (run_dir, ...) only their lines, with what these say of a run.
 
     Files are read in splits, so one large file is many tasks.  A line's number is its place in its split and the lines of
     the splits before.  The lines are written once with their splits and read from there, since another scan of the files
-    may be split otherwise (executors lost or gained).
+    may be split otherwise (executors lost or gained).  What follows from a path is found for each split and not for each line.
     """
     below = name.count("/") + 1
     found = _read(spark, f"{root}/{name}", False)
     if found is None:
-        return spark.createDataFrame([], "run_dir string, file string, lineno long, line string")
+        none = spark.createDataFrame([], "run_dir string, file string, lineno long, line string")
+        return none if runs is None else none.join(runs, "run_dir")
     rows = written(found.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")), "lines")
     blocks = rows.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
-    starts = blocks.select("path", "block", (before - F.col("first") + 1).alias("shift"))
+    file = F.substr(F.regexp_extract("path", "((/[^/]+){%d})$" % below, 1), F.lit(2))
+    starts = blocks.select("path", "block", (before - F.col("first") + 1).alias("shift"), run_dir_of(F.col("path"), below).alias("run_dir"), file.alias("file"))
+    if runs is not None:
+        starts = starts.join(runs, "run_dir")
+    starts = written(starts, "splits")
     out = rows.join(F.broadcast(starts), ["path", "block"])  # a row for each split of a file
-    return out.select(
-        run_dir_of(F.col("path"), below).alias("run_dir"), F.regexp_extract("path", "((/[^/]+){%d})$" % below, 1).alias("file"), (F.col("id") + F.col("shift")).alias("lineno"), F.trim(F.regexp_replace("value", r"\r$", "")).alias("line")
-    ).withColumn("file", F.substr("file", F.lit(2)))
+    line = F.trim(F.rtrim("value", F.lit("\r")))
+    return out.select("run_dir", "file", (F.col("id") + F.col("shift")).alias("lineno"), line.alias("line"), *[x for x in starts.columns if x not in ("path", "block", "shift", "run_dir", "file")])

@@ -14,6 +14,8 @@ from weftlog.sources.files import documents, numbered_lines
 from weftlog.sources.ranges import ranged_lines
 
 _META = "benchmark string, request string, run_id string, run_status int"
+#: Columns of events that name entities.
+NAMED = ("run_id", "src_id", "dst_id", "dst_svc_id", "source_id", "source_role", "destination_id", "destination_role", "also_ip")
 LOGS, FLOWS, AUDIT = "istio/access_logs/*.log", "cilium/flows.jsonl", "audit/audit.jsonl"
 
 
@@ -34,25 +36,47 @@ def ingest(
     With ``pruned``, logs are read by byte ranges (``ranges.ranged_lines``), and those of other runs are never opened; the driver
     then holds the paths of the run directories.
     """
-    runs = run_catalogue(spark, root, benchmarks).select("run_dir", "run_id")
+    runs, objects, logs, every, addresses = _parsed(spark, root, benchmarks, rules, drop_control_plane, namespace, pruned)
+    every = written(every, "parsed")  # events and entities both need it, and logs are dear to parse
+    return _numbered(every), known_entities(spark, runs, objects, logs, every, addresses)
+
+
+def ingest_entities(
+    spark: SparkSession, root: str, benchmarks: list[str] | None = None, rules: tuple[str, ...] = flows.RULES, drop_control_plane: bool = True, namespace: str = "default", pruned: bool = False
+) -> DataFrame:
+    """The entities that ``ingest`` gives, without the events: of these only whom they name is kept, each once."""
+    runs, objects, logs, every, addresses = _parsed(spark, root, benchmarks, rules, drop_control_plane, namespace, pruned, ends=True)
+    return known_entities(spark, runs, objects, logs, written(every.select(*NAMED).distinct(), "named"), addresses)
+
+
+def ingest_events(
+    spark: SparkSession, root: str, benchmarks: list[str] | None = None, rules: tuple[str, ...] = flows.RULES, drop_control_plane: bool = True, namespace: str = "default", pruned: bool = False
+) -> DataFrame:
+    """The events that ``ingest`` gives, where no entities are wanted: parsed ones are numbered as they come and not written first."""
+    return _numbered(_parsed(spark, root, benchmarks, rules, drop_control_plane, namespace, pruned)[3])
+
+
+def _numbered(every: DataFrame) -> DataFrame:
+    """Complete events with ord; ties in time follow the order of ingest, and only events of equal time are numbered together."""
+    ties = Window.partitionBy("run_id", "ts_us").orderBy("order")
+    events = every.where("complete").withColumn("ord", F.row_number().over(ties).cast("long"))
+    return conform(events, type(EVENTS)(EVENTS.fields + INTERNAL.fields))
+
+
+def _parsed(spark: SparkSession, root: str, benchmarks: list[str] | None, rules: tuple[str, ...], drop_control_plane: bool, namespace: str, pruned: bool, ends: bool = False) -> tuple[DataFrame, ...]:
+    """(runs, objects, logs, every, addresses) of what lies under ``root``; ``every`` are all parsed events, dropped ones included, with ``ends`` of calls only whom they name."""
+    runs = written(run_catalogue(spark, root, benchmarks).select("run_dir", "run_id"), "runs")
     objects = snapshot.objects(spark, root).join(runs, "run_dir")
     addresses = snapshot.address_table(objects, snapshot.node_addresses(spark, root).join(runs, "run_dir"))
     dirs = [r.run_dir for r in runs.select("run_dir").collect()] if pruned else None
-    read = lambda name: ranged_lines(spark, root, name, dirs) if pruned else numbered_lines(spark, root, name)
-    lines = lambda name: read(name).join(runs, "run_dir")
+    lines = lambda name: ranged_lines(spark, root, name, dirs).join(runs, "run_dir") if pruned else numbered_lines(spark, root, name, runs)
     stem = F.regexp_extract("file", r"([^/]+)\.log$", 1)
     logs = lines(LOGS).withColumn("pod", F.concat(F.lit(f"pod:{namespace}/"), stem))
-    calls = access.rpc_events(logs, addresses)
+    calls = access.rpc_events(logs, addresses, ends=ends)
     streams = flows.flow_events(lines(FLOWS), addresses, rules)
     api = audit.api_events(lines(AUDIT), addresses, drop_control_plane)
-
     every = calls.withColumn("complete", F.lit(True)).unionByName(streams, allowMissingColumns=True).unionByName(api, allowMissingColumns=True)
-    every = written(every, "parsed")  # events and entities both need it, and logs are dear to parse
-    # ties in time follow the order of ingest: only events of equal time are numbered together
-    ties = Window.partitionBy("run_id", "ts_us").orderBy("order")
-    events = every.where("complete").withColumn("ord", F.row_number().over(ties).cast("long"))
-    events = conform(events, type(EVENTS)(EVENTS.fields + INTERNAL.fields))
-    return events, known_entities(spark, runs, objects, logs, every, addresses)
+    return runs, objects, logs, every, addresses
 
 
 def known_entities(spark: SparkSession, runs: DataFrame, objects: DataFrame, logs: DataFrame, every: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -82,16 +106,29 @@ def known_entities(spark: SparkSession, runs: DataFrame, objects: DataFrame, log
     return conform(first.select("run_id", "entity_id", "e.*"), ENTITIES)
 
 
+def write_events(events: DataFrame, out: str) -> None:
+    events.write.mode("overwrite").partitionBy("run_id").parquet(f"{out}/events")
+
+
 def write_tables(events: DataFrame, entities: DataFrame, out: str) -> None:
     """Both tables as Parquet, partitioned by run so that reading some runs reads no others."""
-    events.write.mode("overwrite").partitionBy("run_id").parquet(f"{out}/events")
+    write_events(events, out)
     entities.write.mode("overwrite").partitionBy("run_id").parquet(f"{out}/entities")
 
 
+def load_events(spark: SparkSession, out: str, runs: list[str] | None = None) -> DataFrame:
+    """Events of some runs, or of all."""
+    return _loaded(spark, f"{out}/events", type(EVENTS)(EVENTS.fields + INTERNAL.fields), runs)
+
+
 def load(spark: SparkSession, out: str, runs: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, entities) of some runs, or of all."""
-    tables = [conform(spark.read.parquet(f"{out}/{name}"), schema) for name, schema in (("events", type(EVENTS)(EVENTS.fields + INTERNAL.fields)), ("entities", ENTITIES))]
-    return tuple(t if runs is None else t.where(F.col("run_id").isin(list(runs))) for t in tables)
+    return load_events(spark, out, runs), _loaded(spark, f"{out}/entities", ENTITIES, runs)
+
+
+def _loaded(spark: SparkSession, path: str, schema, runs: list[str] | None) -> DataFrame:
+    table = conform(spark.read.parquet(path), schema)
+    return table if runs is None else table.where(F.col("run_id").isin(list(runs)))
 
 
 def list_runs(spark: SparkSession, out: str, benchmarks: list[str] | None = None) -> list[str]:
