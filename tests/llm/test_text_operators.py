@@ -218,3 +218,21 @@ def test_all_labelled_rows_teach(spark, write, monkeypatch):
     monkeypatch.setattr(toxicity, "fit_label_model", lambda spoken, label, *n: seen.append(sum(n[0]) if n else len(label)) or fit_model(spoken, label, *n))
     toxicity.fit(write(rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
     assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)]
+
+
+def test_texts_meet_few_labels_as_they_meet_many(spark, monkeypatch):
+    """Labels small enough to broadcast join by a sort as larger ones do, so what is shuffled grows with the input and makes no step."""
+    from weftlog.llm import toxicity
+
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return toxicity_written(df, name)
+
+    toxicity_written = toxicity.written
+    monkeypatch.setattr(toxicity, "written", kept)
+    docs = spark.createDataFrame([(i, "vile awful words here" if i % 3 == 0 else "kind and gentle words") for i in range(200)], "doc_id long, text string")
+    toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 AS int) AS toxic"))
+    for name in ("toxicity-labelled", "toxicity-features"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name]

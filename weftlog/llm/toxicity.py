@@ -189,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bounded_memory(docs.sparkSession)
     taught = labels.where(~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).where("label is not null")
     teaching = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    labelled = written(teaching.join(taught, "id").select("text", "label"), "toxicity-labelled")
+    # texts meet labels by a sort on every size of input: the labels grow with the texts, so none is too small to count on and none large enough to break a broadcast
+    labelled = written(teaching.join(taught.hint("merge"), "id").select("text", "label"), "toxicity-labelled")
     totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
@@ -221,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(1)[piece.lo : piece.hi], found], names=["id", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    marked = teaching.select("text", "id").mapInArrow(present, f"id {kind}, found array<int>").join(taught, "id", "left")
+    marked = teaching.select("text", "id").mapInArrow(present, f"id {kind}, found array<int>").join(taught.hint("merge"), "id", "left")
     seen = written(marked.select("id", F.coalesce("label", F.lit(-1)).alias("label"), "found"), "toxicity-features")
 
     # how often all documents vote alike, as places among the voters
