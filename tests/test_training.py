@@ -185,3 +185,14 @@ def test_parameters_and_texts_survive_a_round_trip(spark, tmp_path):
     for text in (json.dumps({"é": 1}), "second"):
         scratch.write_text(spark, uri, text)
         assert scratch.read_text(spark, uri) == text
+
+
+def test_edges_are_met_once_for_all_draws(spark, monkeypatch):
+    """Draws that hit edges cost no further pass over them: the tables written do not grow with the tries."""
+    names, own = [], links.written
+    monkeypatch.setattr(links, "written", lambda df, name: names.append(name) or own(df, name))
+    # all pairs of 4 ends but (3, 3) are edges, so most draws hit
+    edges = spark.createDataFrame([("r", 0, 0, "x", f"s{a}", f"d{b}") for a in range(4) for b in range(4) if (a, b) != (3, 3)], "run_id string, pos long, later long, relation string, src string, dst string")
+    found = links.relation_negatives(edges, edges, 1, 17, 40).collect()
+    assert [(r.src, r.dst) for r in found] == [("s3", "d3")]
+    assert sorted(names) == sorted(set(names)) and len(names) == 6
