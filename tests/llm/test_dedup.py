@@ -269,6 +269,16 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_few_jobs(spark, monkeypatch):
+    """Each round is one table; stars take one round, and what is added to them is all that takes more."""
+    rounds, put = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: rounds.append(name) or put(df, name))
+    stars = [(100 * k, 100 * k + i) for k in range(5) for i in range(1, 9)]
+    linked = lambda more: {r.node: r.root for r in components.components(spark.createDataFrame(stars + more, "a long, b long")).collect()}
+    assert linked([]) == {100 * k + i: 100 * k for k in range(5) for i in range(9)} and len(rounds) == 1
+    assert linked([(108, 204), (203, 307), (407, 7), (9, 9)]) == {100 * k + i: (0 if k in (0, 4) else 100) for k in range(5) for i in range(9)} and len(rounds) <= 4
+
+
 def test_window_hashes():
     values = np.arange(1, 200, dtype=np.uint64) ** np.uint64(3)
     whole = window_hashes(values, 7)

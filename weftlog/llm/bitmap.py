@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 LEAST_BITS, MOST_BITS = 16, 26
 
 
-def bitmap_of(df: DataFrame, column: str) -> np.ndarray:
-    """The bitmap of a long column; at most 2**20 rows of 64 bits reach the driver."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (64 * df.count()).bit_length()))
+def bitmap_of(df: DataFrame, column: str, rows: int | None = None) -> np.ndarray:
+    """The bitmap of a long column; at most 2**20 rows of 64 bits reach the driver. ``rows`` is their number where it is known."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * (df.count() if rows is None else rows)).bit_length()))
     place = F.shiftrightunsigned(column, 64 - bits)
     rows = df.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
     table = np.zeros(1 << (bits - 6), np.uint64)

@@ -9,33 +9,29 @@ from weftlog.llm.storage import written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for each node of the links (a, b): root is the smallest node of its component.
+    """(node, root) for each node of the links (a, b): root is the smallest node of its component. ``links`` is read several times.
 
-    Large-star and small-star rounds in turn: the first moves a node's larger neighbours, the second its smaller ones, to the
-    smallest of them.  They keep the number of links, end in stars, and take about log(nodes) rounds.  Each round is
-    a minimum by key, which is pre-aggregated, and a join; nothing is gathered by key, so a hub does no harm.
+    Large-star and small-star steps in turn: the first moves a node's larger neighbours, the second its smaller ones, to the
+    smallest of them.  They keep the number of links, end in stars, and take about log(nodes) rounds; links that are stars already, as
+    those of an earlier call, take fewer.  Each step is a minimum by key, which is pre-aggregated, and a join; nothing is gathered by
+    key, so a hub does no harm.  A round is one job, and one aggregation tells whether another is needed.
     """
-
-    def smallest(both: DataFrame, own: DataFrame) -> DataFrame:
-        """Links (b, minimum of a's neighbours and a) for ``own`` links (a, b)."""
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return own.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).where(F.col("x") != F.col("y"))
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
-
-    now = written(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x != y").distinct(), "links")
-    before = mark(now)
-    while True:  # ends, as each round moves links to smaller nodes or none
-        both = now.select(F.col("x").alias("a"), F.col("y").alias("b")).union(now.select(F.col("y").alias("a"), F.col("x").alias("b")))
-        large = smallest(both, both.where("b > a")).distinct()
-        down = large.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    now = links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x != y")
+    stars = False
+    while not stars:  # ends, as each round moves links to smaller nodes, and nothing but stars stays as it is
+        least = now.select(F.inline(F.array(F.struct(F.col("x").alias("n"), F.col("y").alias("m")), F.struct(F.col("y").alias("n"), F.col("x").alias("m")))))
+        least = least.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("m"))
+        large = now.join(least, F.col("y") == F.col("n")).select("x", F.col("m").alias("y"))
         # a node itself also moves to the smallest of its smaller neighbours
-        small = smallest(down, down).union(down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.col("m").alias("y"))).distinct()
-        now = written(small, "links")
-        after = mark(now)
-        if after == before:
-            break
-        before = after
+        small = large.join(large.groupBy("x").agg(F.min("y").alias("m")), "x").select(F.inline(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))))
+        now = written(small.where("x != y").distinct(), "links")
+        stars = _stars(now)
     roots = now.select(F.col("x").alias("node"), F.col("y").alias("root"))
     return roots.union(roots.select("root", "root")).distinct()
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether each larger end x has one link, and none is the smaller end y of another."""
+    ends = links.select(F.inline(F.array(F.struct(F.col("x").alias("n"), F.lit(1).alias("up")), F.struct(F.col("y").alias("n"), F.lit(0).alias("up")))))
+    told = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return told.agg(F.count_if((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("low") == 0)))).first()[0] == 0

@@ -198,8 +198,8 @@ def candidate_pairs(texts: DataFrame) -> DataFrame:
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that alignment finds to have SIMILARITY, and how much. ``texts`` is (row, text)."""
     pairs = written(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().select(F.xxhash64("row").alias("h"))
-    involved = texts.sparkSession.sparkContext.broadcast(bitmap_of(ends, "h"))  # 8 MB at most
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).select(F.xxhash64("row").alias("h"))
+    involved = texts.sparkSession.sparkContext.broadcast(bitmap_of(ends, "h", 2 * pairs.count()))  # 8 MB at most; a row of several pairs counts each time
 
     def only_involved(batches):
         for batch in batches:
@@ -307,24 +307,27 @@ def classes(read: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = read.select("row", "text")
     named = lambda roots: roots.select(F.col("node").alias("row"), F.col("root").alias("unit"))
     links = written(verified(text, candidate_pairs(texts)), "links")
-    joined = lambda: components(links.select("a", "b"))
-    entries = prefix_entries(texts, named(written(joined(), "units")))
+    # what earlier links join is a star by now; only new ones are added to those
+    more = lambda roots, found: written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found.select("a", "b"))), "units")
+    roots = written(components(links.select("a", "b")), "units")
+    entries = prefix_entries(texts, named(roots))
     stars = best_of_units(promising(star_pairs(entries), texts))
-    links = written(links.union(verified(text, stars)), "links")
-    units = named(written(joined(), "units"))
+    found = written(verified(text, stars), "links")
+    links, roots = links.union(found), more(roots, found)
+    units = named(roots)
     entries = shared_keys(entries.drop("unit", "blocks").join(units, "row", "left").withColumn("unit", F.coalesce("unit", -1 - F.col("row"))))
     pairs = written(promising(prefix_pairs(entries), texts).join(stars, ["a", "b"], "left_anti"), "prefix-pairs")
     best = best_of_units(pairs)
-    links = written(links.union(verified(text, best)), "links")
-    roots = written(joined(), "roots")
+    found = written(verified(text, best), "links")
+    links, roots = links.union(found), more(roots, found)
     rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
     for end in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     rest = written(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
     if rest.isEmpty():
         return roots, links
-    links = written(links.union(verified(text, rest)), "links")
-    return written(joined(), "roots"), links
+    found = written(verified(text, rest), "links")
+    return more(roots, found), links.union(found)
 
 
 def closest(links: DataFrame) -> DataFrame:
