@@ -91,6 +91,19 @@ def test_losses(spark):
     assert losses.class_loss(none, "probs", "y", "weight").first().loss == 0.0
 
 
+def test_chains_stand_for_their_edges(spark):
+    """Frames over the ends of events say what the edges between them say, in vectors summed by place or whole."""
+    events = [("r", i % 2, f"e{i}", i, f"a{i % 3}", f"b{i % 4 // 3}") for i in range(40)]
+    ends = spark.createDataFrame(events, "run_id string, pos long, event_id string, order int, src_id string, dst_id string")
+    follows = memory.follow_edges(ends, 3).select("run_id", "pos", F.col("pos").alias("later"), F.col("edge_type").alias("relation"), "src", "dst")
+    for width in (3, messages.NARROW + 1):
+        nodes = ends.select("run_id", "pos", F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.array(*[F.sin(F.col("order") * (i + 1.0)) for i in range(width)]).alias("x"))
+        found = lambda out: {(r.pos, r.id): r.x for r in out.collect()}
+        wanted = found(messages.layer(nodes, messages.weighted(follows), width))
+        got = found(messages.layer(nodes, messages.weighted(follows.limit(0)), width, memory.follow_ends(ends), 3))
+        assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k], abs=1e-12) for k in wanted)
+
+
 def test_typed_pass_by_hand(spark):
     nodes = spark.createDataFrame([("r", 0, "event", "e0", [1.0, 2.0]), ("r", 0, "event", "e1", [3.0, -4.0]), ("r", 0, "event", "e2", [-5.0, 6.0]), ("r", 0, "entity", "n", [1.0, 0.0]), ("r", 1, "entity", "n", [0.0, 1.0])], "run_id string, pos long, kind string, id string, x array<double>")
     rows = [("r", 0, 0, "follows_src", "e0", "e2"), ("r", 0, 0, "follows_src", "e1", "e2"), ("r", 0, 0, "follows_dst", "e1", "e2"), ("r", 0, 1, "recurs", "n", "n")]
