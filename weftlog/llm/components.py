@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: the first moves a node's larger neighbours, the second its smaller ones, to the
     smallest of them.  They keep the number of links, end in stars, and take about log(nodes) rounds; links that are stars already, as
     those of an earlier call, take fewer.  Each step is a minimum by key, which is pre-aggregated, and a join; nothing is gathered by
-    key, so a hub does no harm.  A round is one job, and one aggregation tells whether another is needed.
+    key, though a join deals a hub's links, two numbers each, to one task.  A round is one job, and one aggregation tells whether another is needed.
     """
     now = links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x != y")
     stars = False
