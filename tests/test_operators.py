@@ -244,3 +244,38 @@ def test_vectors_looked_up_by_destination(spark):
     nodes = spark.createDataFrame([("r", "a", 1), ("r", "b", 2)], "run_id string, entity_id string, vec_id long")
     out = graphs.neighbour_mean(edges, nodes, ["run_id"], vectors=vectors)
     assert {r.entity_id: r.x for r in out.collect()} == {"c": [2.0, 4.0], "b": [1.0, 2.0]}
+
+
+def test_vectors_are_added_up_as_columns(spark, monkeypatch):
+    """Means by columns are the summarizer's, and hops hear the means of the hop before."""
+    from weftlog.operators import graphs
+
+    edges = spark.createDataFrame([("r", 0, "a", "c"), ("r", 0, "b", "c"), ("r", 0, "a", "b"), ("r", 1, "b", "c")], "run_id string, w_idx long, src string, dst string")
+    nodes = spark.createDataFrame([("r", 0, "a", [1.0, 2.0]), ("r", 0, "b", [3.0, 6.0]), ("r", 0, "c", [5.0, 5.0]), ("r", 1, "c", [7.0, 7.0])], "run_id string, w_idx long, entity_id string, x array<double>")
+    expected = {(0, "a"): ([0.0, 0.0], [0.0, 0.0]), (0, "b"): ([1.0, 2.0], [0.0, 0.0]), (0, "c"): ([2.0, 4.0], [0.5, 1.0]), (1, "c"): ([0.0, 0.0], [0.0, 0.0])}
+    for most in (90, 1):
+        monkeypatch.setattr(graphs, "COLUMNS", most)
+        out = graphs.propagated(edges, nodes, ["run_id", "w_idx"], 2, width=2)
+        assert out.columns == ["run_id", "w_idx", "entity_id", "x", "x1", "x2"]
+        assert {(r.w_idx, r.entity_id): (r.x1, r.x2) for r in out.collect()} == expected
+        plan = graphs.mean_vectors(nodes, ["run_id"], "x", 2)._jdf.queryExecution().executedPlan().toString()
+        assert ("ObjectHashAggregate" in plan) == (most == 1)
+
+
+def test_views_are_shuffled_once_for_sentences(spark):
+    from weftlog.operators import sentences
+
+    rows = spark.createDataFrame([("r", 0, 0, 1, 1, 0, "e", ["a", "b"])], "run_id string, w_idx long, pos long, ts_us long, ord long, seq int, entity_id string, tokens array<string>")
+    kept = sentences.capped_views(rows, 3).groupBy("run_id", "w_idx", "pos", "entity_id").agg(F.collect_list("tokens").alias("t"))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_only_sentences_with_rare_tokens_are_taken_apart(spark, monkeypatch):
+    from weftlog.operators import models
+
+    tables, own = {}, models.written
+    monkeypatch.setattr(models, "written", lambda df, name: tables.setdefault(name, own(df, name)))
+    said = spark.createDataFrame([("r", 0, "a", ["p:x", "p:y", "p:x"]), ("r", 0, "b", ["p:y", "dst:ext:one", "p:x"]), ("r", 1, "a", []), ("r", 1, "b", ["q", "p:y"])], "run_id string, w_idx long, entity_id string, sentence array<string>")
+    found = {(r.w_idx, r.entity_id): r.sentence for r in models.with_unknowns(said).collect()}
+    assert found == {(0, "a"): ["p:x", "p:y", "p:x"], (0, "b"): ["p:y", "unk:dst-ext", "p:x"], (1, "b"): ["unk:q", "p:y"]}
+    assert {(r.w_idx, r.entity_id) for r in tables["sentences-with-rare"].collect()} == {(0, "b"), (1, "b")}
