@@ -88,3 +88,40 @@ def test_run_files_of_several_ranges(spark, monkeypatch):
     order = [d[0] for d in found.description]
     rows = catalog.QUERIES["pruned_run_lines"](spark, "/root/testdata/sf0.001").select(*order).collect()
     assert sorted(map(tuple, rows)) == sorted(found.fetchall())
+
+
+def test_folder_of_parts_stands_for_a_file(spark, tmp_path):
+    """Lines of a log in parts, plain or compressed, are numbered through, in order of the parts' names."""
+    import gzip
+
+    for run, kind in (("a b", "plain"), ("b", "gz"), ("c", "file")):
+        log = tmp_path / run / "cilium" / "flows.jsonl"
+        texts = ["".join(f"line {i}\n" for i in range(first, first + n)) for first, n in ((1, 300), (301, 1), (302, 500))]
+        (log.parent if kind == "file" else log).mkdir(parents=True)
+        if kind == "file":
+            log.write_text("".join(texts))
+            continue
+        (log / "_SUCCESS").write_text("")
+        for i, text in enumerate(texts):
+            (log / f"part-{i}.txt").write_text(text) if kind == "plain" else (log / f"part-{i}.txt.gz").write_bytes(gzip.compress(text.encode()))
+    of = lambda rows: sorted((r.run_dir.rpartition("/")[2], r.file, r.lineno, r.line) for r in rows.collect())
+    expected = [(run, "cilium/flows.jsonl", i, f"line {i}") for run in ("a%20b", "b", "c") for i in range(1, 802)]
+    assert of(numbered_lines(spark, f"{tmp_path}/*", runs.FLOWS)) == expected
+    for split in (101, 1 << 20):
+        dirs = [f"file:{tmp_path}/a%20b", f"file:{tmp_path}/c"]
+        assert of(ranged_lines(spark, f"{tmp_path}/*", runs.FLOWS, dirs, split)) == [x for x in expected if x[0] != "b"]
+
+
+def test_lines_of_runs_are_written_once(spark, tmp_path, monkeypatch):
+    from weftlog.plans import run_queries
+
+    monkeypatch.setattr(run_queries, "LINES", 200)
+    bytes_, found = {}, {}
+    for codec in ("none", "gzip"):
+        monkeypatch.setattr(run_queries, "fresh", lambda spark, name, codec=codec: f"file://{tmp_path}/{codec}/{name}")
+        lines = numbered_lines(spark, run_queries.write_runs(spark, "/root/testdata/sf0.001", codec), runs.FLOWS)
+        found[codec] = sorted((r.run_dir.rpartition("/")[2], r.lineno, r.line) for r in lines.collect())
+        text = [x for x in (tmp_path / codec).rglob("part-*.txt*") if x.stat().st_size]
+        assert text and all(x.relative_to(tmp_path / codec).parts[0] == "runs" for x in text)
+        bytes_[codec] = sum(x.stat().st_size for x in text)
+    assert found["none"] == found["gzip"] and bytes_["gzip"] < bytes_["none"] / 4

@@ -68,25 +68,6 @@ def _tree(pattern: str) -> tuple[pafs.FileSystem, str, str]:
     return system, f"{url.scheme}://{'' if path.startswith(url.netloc) else url.netloc}", path
 
 
-def joined(spark: SparkSession, files: list[tuple[str, list[str]]]) -> None:
-    """Write each file as the bytes of its parts, in order; a task copies one file, a chunk at a time."""
-
-    def copy(batches):
-        for batch in batches:
-            for to, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system, _, path = _tree(to)
-                system.create_dir(posixpath.dirname(path), recursive=True)
-                with system.open_output_stream(path) as out:
-                    for part in parts:
-                        with system.open_input_stream(_tree(part)[2]) as stream:
-                            while chunk := stream.read(CHUNK):
-                                out.write(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    rows = spark.createDataFrame(files, "to string, parts array<string>").repartition(len(files))
-    rows.mapInArrow(copy, "n long").agg(F.sum("n")).collect()
-
-
 def matches(system: pafs.FileSystem, path: str) -> Iterator[pafs.FileInfo]:
     """What lies under a pattern with ``*``, level by level; names without ``*`` are not listed."""
     parts = path.split("/")
@@ -102,11 +83,24 @@ def matches(system: pafs.FileSystem, path: str) -> Iterator[pafs.FileInfo]:
             yield from matches(system, "/".join([info.path, *parts[wild + 1 :]]))
 
 
+def encoded(path: str) -> str:
+    """A path as Spark writes it in the metadata of a file."""
+    return quote(path, safe="/:@!$&'()*+,;=~")
+
+
+def parts_of(system: pafs.FileSystem, info: pafs.FileInfo) -> list[pafs.FileInfo]:
+    """The file, or the files of a folder that stands for one, in order of their names; as in Spark, names with _ or . in front are none."""
+    if info.type == pafs.FileType.File:
+        return [info]
+    inside = [x for x in system.get_file_info(pafs.FileSelector(info.path)) if x.type == pafs.FileType.File and x.base_name[0] not in "_."]
+    return sorted(inside, key=lambda x: x.base_name)
+
+
 @dataclass
 class Ranges(InputPartition):
-    """(path, run_dir, file, start, end) of the ranges that one task reads."""
+    """(path, run_dir, file, start, end, before) of the ranges that one task reads; ``before`` are the bytes of the file's earlier parts."""
 
-    ranges: list[tuple[str, str, str, int, int]]
+    ranges: list[tuple[str, str, str, int, int, int]]
 
 
 class RunLogReader(DataSourceReader):
@@ -127,35 +121,35 @@ class RunLogReader(DataSourceReader):
         system, before, root = _tree(self.root)
         out, room = [], 0
         for run in matches(system, root):
-            run_dir = before + quote(run.path, safe="/:@!$&'()*+,;=~")
+            run_dir = before + encoded(run.path)
             if run.type != pafs.FileType.Directory or (self.runs is not None and run_dir not in self.runs):
                 continue
             for info in matches(system, f"{run.path}/{self.name}"):
-                if info.type != pafs.FileType.File:
-                    continue
-                file = quote(posixpath.relpath(info.path, run.path), safe="/:@!$&'()*+,;=~")
-                for start in range(0, info.size, self.split):
-                    end = min(start + self.split, info.size)
-                    if not out or end - start > room:
-                        out.append(Ranges([]))
-                        room = self.split
-                    out[-1].ranges.append((info.path, run_dir, file, start, end))
-                    room -= end - start
+                file, base = encoded(posixpath.relpath(info.path, run.path)), 0
+                for part in parts_of(system, info):
+                    for start in range(0, part.size, self.split):
+                        end = min(start + self.split, part.size)
+                        if not out or end - start > room:
+                            out.append(Ranges([]))
+                            room = self.split
+                        out[-1].ranges.append((part.path, run_dir, file, start, end, base))
+                        room -= end - start
+                    base += part.size
         return out or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system = _tree(self.root)[0]
-        for path, run_dir, file, start, end in partition.ranges:
+        for path, run_dir, file, start, end, base in partition.ranges:
             with system.open_input_file(path) as stream:
                 lines, size, first = [], 0, 1
                 for i, line in enumerate(lines_between(stream, start, end)):
-                    lines.append((line.removeprefix(MARK) if start == i == 0 else line).decode(errors="replace"))
+                    lines.append((line.removeprefix(MARK) if base == start == i == 0 else line).decode(errors="replace"))
                     size += len(line)
                     if len(lines) == BATCH or size >= BATCH_BYTES:
-                        yield self._batch(run_dir, file, start, first, lines)
+                        yield self._batch(run_dir, file, base + start, first, lines)
                         lines, size, first = [], 0, i + 2
                 if lines:
-                    yield self._batch(run_dir, file, start, first, lines)
+                    yield self._batch(run_dir, file, base + start, first, lines)
 
     @staticmethod
     def _batch(run_dir: str, file: str, block: int, first: int, lines: list[str]) -> pa.RecordBatch:
@@ -168,7 +162,8 @@ class RunLogs(DataSource):
     """``spark.read.format("run_logs")``: lines (run_dir, file, block, nth, line) of files ``name`` in the directories ``root``, both with ``*``.
 
     ``block`` is where the line's range begins and ``nth`` its place there, from 1.  ``splitBytes`` is the length of a range.  Files
-    are plain text in file systems that pyarrow opens; others (and compressed files) are read by ``files.numbered_lines``.
+    are plain text in file systems that pyarrow opens; others (and compressed files) are read by ``files.numbered_lines``.  A folder
+    in place of a file stands for its parts, in order of their names.
     """
 
     @classmethod
