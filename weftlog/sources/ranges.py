@@ -189,7 +189,7 @@ def ranged_lines(spark: SparkSession, root: str, name: str, dirs: list[str] | No
     spark.conf.set(setting, "true")
     try:
         rows = spark.read.format("run_logs").options(root=root, name=name, splitBytes=split).load()
-        rows = written(rows if dirs is None else rows.where(F.col("run_dir").isin(dirs)), "lines")
+        rows = written(rows if dirs is None else rows.where(F.col("run_dir").isin(dirs)), "lines", "zstd")
     finally:
         spark.conf.set(setting, was)
     place = ["run_dir", "file", "block"]
